@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,31 +20,29 @@ TOKENIZER = "word_bpe_49k.json"
 #: Patterns that the least-squares step considers at most, and its steps.
 PATTERNS, STEPS = 4096, 200
 #: Distinct words whose ids a Python worker keeps; then it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+#: Texts that are split into words at a time.
+SLICE_ROWS = 1024
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class Ids:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts, looked up word by word.
 
     The tokenizer splits at white space before anything else that looks beyond a character, so a text's ids
     are those of its space-separated parts in turn, and a part's ids are kept. A mark after letters and digits
-    is a token of its own, so `word,` is looked up as `word` and `,`. Texts that may hold a special token's
-    string are encoded whole.
+    is a token of its own, so `word,` is looked up as `word` and `,`.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def add(self, words: set[str]) -> None:
+    def add(self, words: list[str]) -> None:
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            self.known = {"": b""}
         known, marked, new = self.known, {}, set()
         for w in words:
             if w not in known:
@@ -50,25 +50,42 @@ class Ids:
                     marked[w] = w[:-1].lower()
                     new.add(marked[w])
                     new.add(w[-1])
+                elif w.isascii() and w.isalnum():
+                    marked[w] = w.lower()
+                    new.add(marked[w])
                 else:
                     new.add(w)
-        new -= known.keys()
-        ordered = list(new)
-        for w, e in zip(ordered, self.model.encode_batch(ordered, add_special_tokens=False)):
+        ordered = [w for w in new if w not in known]
+        for w, e in zip(ordered, self.model.encode_batch_fast(ordered, add_special_tokens=False)):
             known[w] = np.array(e.ids, dtype="<u4").tobytes()
         for w, core in marked.items():
-            known[w] = known[core] + known[w[-1]]
-
-    def batch(self, texts: list[str]) -> Iterator[bytes]:
-        split = [None if "<|" in t else t.split(" ") if "\n" not in t else t.replace("\n", " ").split(" ") for t in texts]
-        words: set[str] = set()
-        for s in split:
-            words.update(s or ())
-        words.discard("")
+            known[w] = known[core] if len(core) == len(w) else known[core] + known[w[-1]]
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and where each text's ids begin and end."""
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         self.add(words)
-        get = self.known.get
-        for s, t in zip(split, texts):
-            yield self.whole(t) if s is None else b"".join([get(w, b"") for w in s])
+        parts = [self.known[w] for w in words]
+        size = np.array([len(x) // 4 for x in parts], dtype=np.int64)
+        flat = np.frombuffer(b"".join(parts), dtype="<u4")
+        begin = np.cumsum(size) - size
+        n = size[at]
+        end = np.cumsum(n)
+        ids = flat[np.repeat(begin[at] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        # offsets of a sliced list array count from the whole
+        edges = lists.offsets.to_numpy()
+        return ids, np.concatenate(([0], end))[edges - edges[0]]
+
+
+@lru_cache(1)
+def ids_of(path: str) -> Ids:
+    """One for a Python worker, so that what it knows lasts from task to task."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Ids(path)
 
 
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -78,22 +95,21 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = Ids(tokenizer)
-        end = np.array([END_ID], dtype="<u4").tobytes()
-        step = 4 * window
+        ids = ids_of(tokenizer)
+        last = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            docs, all_texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(docs), 256):
-                texts = [t or "" for t in all_texts.slice(at, 256).to_pylist()]
+            docs = batch.column(0).to_pylist()
+            for at in range(0, len(docs), SLICE_ROWS):
+                flat, edges = ids.texts(batch.column(1).slice(at, SLICE_ROWS))
+                edges = edges.tolist()
                 out: list[list] = [[], [], [], [], []]
-                for doc, raw in zip(docs[at : at + 256], ids.batch(texts)):
-                    raw += end
-                    for k in range(0, len(raw), step):
-                        part = raw[k : k + step]
-                        for column, value in zip(out, (doc, k // 4, len(part) // 4, zlib.crc32(part), len(raw) // 4)):
+                for doc, a, b in zip(docs[at : at + SLICE_ROWS], edges, edges[1:]):
+                    total = b - a + 1
+                    for k in range(0, total, window):
+                        crc = zlib.crc32(flat[a + k : min(a + k + window, b)])
+                        if k + window >= total:
+                            crc = zlib.crc32(last, crc)
+                        for column, value in zip(out, (doc, k, min(window, total - k), crc, total)):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
