@@ -12,7 +12,7 @@ LINK_CHARS = 20
 #: A shard may hold so many times the mean while labels move; the final deal is even to one row.
 SLACK = 1.05
 #: Rows that a task numbers at a time in the final deal, and buckets a shard has at most.
-BUCKET_ROWS, BUCKETS = 50_000, 4096
+BUCKET_ROWS, BUCKETS = 500, 4096
 
 
 def _links(rows: DataFrame, text_col: str) -> DataFrame:
