@@ -1,0 +1 @@
+"""Analytics over document landscapes, expressed as Spark plans."""

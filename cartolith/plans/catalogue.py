@@ -1,0 +1,432 @@
+"""The reference queries over the binding, each with DuckDB SQL where SQL can express it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import evidence, facets, grid, grounding, lifecycle, structure, trend, vectors
+from ..operators.model import DocumentFilter
+from ..sources import patent_list
+from ..streaming.ingest import keep_latest, windowed_counts
+from . import binding
+from .binding import SQL, read
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, bound: bool = True):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = f"WITH {SQL}{sql}" if bound and sql.startswith(",") else f"WITH {SQL} {sql}" if bound else sql
+        return f
+
+    return add
+
+
+SELECTED = DocumentFilter(year_from=1996, year_to=2000, statuses=["rights_acquired", "under_examination"])
+CELL = DocumentFilter(similarity=4, concept_level=5)
+ORGS = list(range(1, 21))
+RULES = {"rights_acquired": ["F", "P"], "under_examination": ["O"]}
+IN_SELECTED = "year BETWEEN 1996 AND 2000 AND legal IN ('rights_acquired', 'under_examination')"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+STATUS_COUNTS = "count(*) FILTER (WHERE {0} legal = 'rights_acquired') AS rights_acquired, count(*) FILTER (WHERE {0} legal = 'under_examination') AS under_examination, count(*) FILTER (WHERE {0} legal = 'published') AS published"
+
+
+@query(f"""SELECT patent_id, title, applicant, category, year FROM docs WHERE ({" OR ".join(LOWER.format(c) + " LIKE '%mach_nery%'" for c in ("title", "applicant", "category"))}) AND {IN_SELECTED} ORDER BY position LIMIT 500""")
+def document_search(spark, d):
+    where = DocumentFilter(query="Mach_nery", year_from=1996, year_to=2000, statuses=SELECTED.statuses)
+    return facets.document_page(binding.tables(spark, d), where, limit=500).select("patent_id", "title", "applicant", "category", "year")
+
+
+@query("SELECT patent_id, year, state AS analysis_state FROM docs WHERE EXISTS (SELECT 1 FROM bridge b WHERE b.patent_id = docs.patent_id AND b.organization_id BETWEEN 1 AND 20) ORDER BY position, patent_id LIMIT 200 OFFSET 100")
+def document_page_org_filter(spark, d):
+    return facets.document_page(binding.tables(spark, d), DocumentFilter(organization_ids=ORGS), 200, 100).select("patent_id", "year", "analysis_state")
+
+
+HEAD = "count(*) AS total, count(*) FILTER (WHERE state = 'ready') AS ready, count(*) FILTER (WHERE legal = 'rights_acquired') AS registered, count(*) FILTER (WHERE state = 'ready' AND similarity >= 4 AND concept_level >= 4) AS threat"
+
+
+@query(f"SELECT {HEAD} FROM docs WHERE {IN_SELECTED}")
+def headline_metrics(spark, d):
+    return facets.headline(SELECTED.apply(binding.tables(spark, d)))
+
+
+@query(f"SELECT similarity, concept_level, count(*) AS count FROM docs WHERE state = 'ready' AND {IN_SELECTED} GROUP BY ALL")
+def threat_cells(spark, d):
+    return facets.threat_cells(SELECTED.apply(binding.tables(spark, d)))
+
+
+@query("SELECT s.s::INTEGER AS similarity, c.c::INTEGER AS concept_level, count(patent_id) AS count FROM generate_series(1, 5) s(s) CROSS JOIN generate_series(1, 5) c(c) LEFT JOIN docs ON similarity = s.s AND concept_level = c.c AND state = 'ready' AND category <> 'BUILDING' GROUP BY ALL")
+def threat_cells_zero_filled(spark, d):
+    return facets.threat_grid(binding.documents(spark, d).where("category <> 'BUILDING'"))
+
+
+TECH_SQL = "SELECT tech::VARCHAR AS tech, problem::VARCHAR AS problem, max('T' || tech) AS tech_name, max('P' || problem) AS problem_name, count(*) AS count FROM docs WHERE state = 'ready' AND {} GROUP BY 1, 2"
+
+
+@query(TECH_SQL.format(IN_SELECTED))
+def technology_cells(spark, d):
+    return facets.technology_cells(SELECTED.apply(binding.tables(spark, d)))
+
+
+NARROW = DocumentFilter(year_from=1996, year_to=1997, statuses=["published"])
+IN_NARROW = "year BETWEEN 1996 AND 1997 AND legal = 'published'"
+
+
+@query(f", cells AS ({TECH_SQL.format(IN_NARROW)}) SELECT * FROM cells WHERE tech IN (SELECT tech FROM cells GROUP BY tech HAVING sum(count) >= 5) AND problem IN (SELECT problem FROM cells GROUP BY problem HAVING sum(count) >= 5)")
+def technology_cells_min_size(spark, d):
+    return facets.of_min_size(facets.technology_cells(NARROW.apply(binding.tables(spark, d))), 5)
+
+
+ORG_EXISTS = "EXISTS (SELECT 1 FROM bridge b WHERE b.patent_id = docs.patent_id AND b.organization_id BETWEEN 1 AND 20)"
+
+
+@query(f"SELECT 'aggregates' AS scope, {HEAD} FROM docs WHERE {IN_SELECTED} UNION ALL SELECT 'overlay', {HEAD} FROM docs WHERE {IN_SELECTED} AND {ORG_EXISTS} UNION ALL SELECT 'selection', {HEAD} FROM docs WHERE {IN_SELECTED} AND {ORG_EXISTS} AND similarity = 4 AND concept_level = 5")
+def facet_scopes(spark, d):
+    from dataclasses import replace
+
+    return facets.facet_scopes(binding.tables(spark, d), replace(SELECTED, similarity=4, concept_level=5, organization_ids=ORGS))
+
+
+@query(f", a AS ({TECH_SQL.format('year = 1996')}), b AS ({TECH_SQL.format(f'year = 1996 AND {ORG_EXISTS}')}) SELECT coalesce(a.tech, b.tech) AS tech, coalesce(a.problem, b.problem) AS problem, coalesce(a.count, 0) AS population, coalesce(b.count, 0) AS overlay FROM a FULL JOIN b ON a.tech = b.tech AND a.problem = b.problem")
+def overlay_cells(spark, d):
+    t = binding.tables(spark, d)
+    where = DocumentFilter(year_from=1996, year_to=1996)
+    from dataclasses import replace
+
+    return facets.overlay_cells(facets.technology_cells(where.apply(t)), facets.technology_cells(replace(where, organization_ids=ORGS).apply(t)))
+
+
+LINKED = f"bridge JOIN docs USING (patent_id) WHERE {IN_SELECTED}"
+
+
+@query(f"SELECT organization_id, count(DISTINCT patent_id) AS count FROM {LINKED} GROUP BY 1")
+def organization_counts(spark, d):
+    t = binding.tables(spark, d)
+    return facets.organization_counts(SELECTED.apply(t), t)
+
+
+@query(f"SELECT organization_id, s_name AS name, count(*) AS count FROM bridge JOIN docs USING (patent_id) JOIN supplier ON s_suppkey = organization_id WHERE {IN_SELECTED} GROUP BY 1, 2 ORDER BY count DESC, name, organization_id LIMIT 10")
+def organization_top10(spark, d):
+    t = binding.tables(spark, d)
+    return facets.organization_top(SELECTED.apply(t), t)
+
+
+@query(f"SELECT organization_id % 10 AS group_id, count(*)::BIGINT AS count FROM {LINKED} GROUP BY 1")
+def group_ranking_sum(spark, d):
+    t = binding.tables(spark, d)
+    return facets.group_ranking(SELECTED.apply(t), t, binding.groups(spark, d))
+
+
+@query(f"SELECT organization_id % 10 AS group_id, count(DISTINCT patent_id) AS count FROM {LINKED} GROUP BY 1")
+def group_ranking_distinct(spark, d):
+    t = binding.tables(spark, d)
+    return facets.group_ranking(SELECTED.apply(t), t, binding.groups(spark, d), distinct=True)
+
+
+@query("SELECT coalesce(source_status, '') AS source_status, count(*) AS count FROM docs GROUP BY 1")
+def source_status_counts(spark, d):
+    return facets.source_status_counts(binding.documents(spark, d))
+
+
+@query("SELECT CASE WHEN source_status IN ('F', 'P') THEN 'rights_acquired' WHEN source_status = 'O' THEN 'under_examination' ELSE 'published' END AS category, count(*)::BIGINT AS count FROM docs GROUP BY 1")
+def legal_status_preview(spark, d):
+    return facets.legal_status_preview(binding.documents(spark, d), RULES)
+
+
+@query("SELECT unnest(generate_series(min(year), max(year)))::INTEGER AS year FROM docs")
+def year_bounds_axis(spark, d):
+    return trend.year_axis(binding.documents(spark, d))
+
+
+@query("SELECT DISTINCT year FROM docs WHERE year IS NOT NULL")
+def distinct_years(spark, d):
+    return facets.distinct_years(binding.documents(spark, d))
+
+
+@query("SELECT research_id, count(*) AS documents FROM docs GROUP BY 1")
+def documents_per_research(spark, d):
+    return facets.documents_per_research(binding.documents(spark, d))
+
+
+AXIS = "axis AS (SELECT unnest(generate_series(min(year), max(year)))::INTEGER AS year FROM docs)"
+IN_CELL = "similarity = 4 AND concept_level = 5"
+SERIES = f", {AXIS}, s AS (SELECT year, count(*) FILTER (WHERE {IN_CELL}) AS cell, count(*) AS baseline, {STATUS_COUNTS.format(IN_CELL + ' AND')} FROM docs WHERE state = 'ready' AND year IS NOT NULL GROUP BY 1)"
+
+
+@query(SERIES + " SELECT year, coalesce(cell, 0) AS cell, coalesce(baseline, 0) AS baseline, CASE WHEN coalesce(baseline, 0) > 0 THEN round_even(cell / baseline, 6) ELSE 0 END AS share FROM axis LEFT JOIN s USING (year)")
+def trend_series(spark, d):
+    return trend.cell_trend(binding.tables(spark, d), CELL).select("year", "cell", "baseline", "share")
+
+
+@query(SERIES + " SELECT year, coalesce(rights_acquired, 0) AS rights_acquired, coalesce(under_examination, 0) AS under_examination, coalesce(published, 0) AS published FROM axis LEFT JOIN s USING (year)")
+def trend_status_pivot(spark, d):
+    return trend.cell_trend(binding.tables(spark, d), CELL).select("year", *trend.STATUSES)
+
+
+def _direction_sql(cells: str) -> str:
+    return f""", b AS (SELECT max(year) AS last FROM docs), n AS (SELECT {cells}, year, count(*) AS n FROM docs WHERE state = 'ready' GROUP BY ALL),
+t AS (SELECT {cells}, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (WHERE year IS NOT NULL), 0)::BIGINT AS dated, min(year) AS first_year,
+  arg_max(year, n * 10000 - year) FILTER (WHERE year IS NOT NULL) AS peak_year, coalesce(sum(n) FILTER (WHERE year BETWEEN last - 2 AND last), 0)::BIGINT AS recent,
+  coalesce(sum(n) FILTER (WHERE year BETWEEN last - 5 AND last - 3), 0)::BIGINT AS previous, max(last) AS last FROM n, b GROUP BY ALL)
+SELECT * EXCLUDE (last), CASE WHEN total = 0 THEN 'unobserved' WHEN dated = 0 THEN 'undated' WHEN dated < 3 THEN 'sparse' WHEN first_year >= last - 2 AND previous = 0 THEN 'emerging'
+  WHEN recent >= 1.25 * previous AND recent - previous >= 2 THEN 'growing' WHEN previous >= 3 AND recent <= 0.75 * previous THEN 'declining' ELSE 'stable' END AS direction FROM t"""
+
+
+@query(_direction_sql("similarity, concept_level"))
+def trend_direction(spark, d):
+    return trend.trend_directions(binding.documents(spark, d), ["similarity", "concept_level"])
+
+
+@query(_direction_sql("tech, problem").replace("SELECT * EXCLUDE (last)", "SELECT tech AS tech_cluster_id, problem AS problem_cluster_id, * EXCLUDE (last, tech, problem)"))
+def trend_direction_technology(spark, d):
+    return trend.trend_directions(binding.documents(spark, d), ["tech_cluster_id", "problem_cluster_id"])
+
+
+@query(f", c AS (SELECT * FROM docs WHERE state = 'ready' AND {IN_CELL} AND year BETWEEN 1996 AND 2000) SELECT organization_id, s_name AS name, count(*) AS count, {STATUS_COUNTS.format('')}, round_even(count(*) / (SELECT count(*) FROM c), 6) AS share FROM c JOIN bridge USING (patent_id) JOIN supplier ON s_suppkey = organization_id GROUP BY 1, 2 ORDER BY count DESC, name, organization_id LIMIT 10")
+def trend_organizations(spark, d):
+    return trend.trend_organizations(binding.tables(spark, d), DocumentFilter(year_from=1996, year_to=2000, similarity=4, concept_level=5))
+
+
+@query(f", g AS (SELECT year_source, count(*) AS count, count(*) FILTER (WHERE year >= 2000) AS late FROM docs WHERE state = 'ready' AND {IN_CELL} GROUP BY 1) SELECT year_source, count, CASE WHEN (SELECT count(*) FROM g) = 1 AND year_source = 'application_date' THEN 'application_year' ELSE 'mixed_available_year' END AS year_basis, (SELECT sum(late) FROM g) > 0 AS provisional FROM g")
+def trend_year_basis(spark, d):
+    return trend.trend_year_basis(binding.tables(spark, d), CELL, as_of_year=2001)
+
+
+@query(
+    ", r AS (SELECT *, patent_id % 13 = 0 AS again FROM docs) SELECT count(*) AS total, count(*) FILTER (WHERE pdf_available) AS available, count(*) FILTER (WHERE NOT again AND state = 'ready') AS finalized, count(*) FILTER (WHERE CASE WHEN again THEN state IN ('ready', 'invalid', 'skipped') ELSE state = 'pending' END) AS pending, count(*) FILTER (WHERE NOT again AND state = 'skipped') AS skipped, count(*) FILTER (WHERE CASE WHEN again THEN state IN ('ready', 'pending', 'skipped') ELSE state = 'invalid' END) AS failed FROM r"
+)
+def pipeline_counts(spark, d):
+    docs = binding.documents(spark, d)
+    return lifecycle.pipeline_counts(docs, docs.where("patent_id % 13 = 0").select("patent_id"))
+
+
+ART = ", art AS (SELECT patent_id, k AS artifact_type, run_id, CASE WHEN run_id = 'r2' THEN 2 WHEN patent_id % 5 = 0 THEN 3 ELSE 1 END AS updated_at FROM docs, unnest(['score', 'summaries', 'embedding'][1:(patent_id % 3 + 1)]) x(k), (VALUES ('r1'), ('r2')) v(run_id))"
+
+
+@query(ART + " SELECT patent_id FROM art WHERE artifact_type IN ('score', 'summaries') GROUP BY 1 HAVING count(DISTINCT artifact_type) = 2")
+def having_two_artifacts(spark, d):
+    return lifecycle.having_all_artifacts(binding.artifacts(binding.documents(spark, d)), ["score", "summaries"])
+
+
+@query(ART + " SELECT patent_id, artifact_type, run_id, updated_at FROM art QUALIFY row_number() OVER (PARTITION BY patent_id, artifact_type ORDER BY updated_at DESC, run_id DESC) = 1")
+def latest_artifact(spark, d):
+    return lifecycle.latest_artifact(binding.artifacts(binding.documents(spark, d)))
+
+
+@query("SELECT vec_id FROM embeddings WHERE NOT EXISTS (SELECT 1 FROM labels WHERE doc_id = vec_id)", bound=False)
+def orphan_vectors(spark, d):
+    docs = read(spark, d, "labels").select(F.col("doc_id").alias("vec_id"))
+    return lifecycle.orphans(read(spark, d, "embeddings").select("vec_id"), docs, ["vec_id"])
+
+
+@query("SELECT count(*) AS count, max(len(embedding))::INTEGER AS max_dimensions, min(len(embedding))::INTEGER AS min_dimensions FROM embeddings WHERE embedding IS NOT NULL", bound=False)
+def embedding_summary(spark, d):
+    return lifecycle.embedding_summary(read(spark, d, "embeddings"), "embedding")
+
+
+@query("SELECT coalesce(a.k, b.k) AS o_orderkey, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'continued' END AS change FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 4 <> 0) a FULL JOIN (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 <> 0) b ON a.k = b.k", bound=False)
+def csv_diff(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey")
+    return lifecycle.list_diff(o.where("o_orderkey % 4 <> 0"), o.where("o_orderkey % 3 <> 0"), "o_orderkey")
+
+
+@query("WITH k AS (SELECT o_orderkey, 0 AS pr, o_orderkey % 2000 AS key FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey, 1, o_custkey % 2000 FROM orders WHERE o_orderkey % 10 = 0), h AS (SELECT DISTINCT o_orderkey, pr, p_name || '.pdf' AS pdf FROM k JOIN part ON p_partkey = key) SELECT o_orderkey, h.pdf, n AS candidates FROM (SELECT DISTINCT o_orderkey FROM k) LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY pr, pdf) AS r, count(*) OVER (PARTITION BY o_orderkey) AS n FROM h) h USING (o_orderkey) WHERE r = 1", bound=False)
+def number_match_priority(spark, d):
+    o = read(spark, d, "orders").where("o_orderkey % 10 = 0")
+    keys = F.array(*[F.struct(F.lit(i).alias("priority"), (F.col(c) % 2000).alias("key")) for i, c in enumerate(("o_orderkey", "o_custkey"))])
+    wanted = o.select("o_orderkey", F.explode(keys).alias("k")).select("o_orderkey", "k.*")
+    pool = read(spark, d, "part").select(F.col("p_partkey").alias("key"), F.concat("p_name", F.lit(".pdf")).alias("pdf"))
+    return patent_list.match_priority(wanted, pool, "o_orderkey")
+
+
+KEY_SQL = r"lower(regexp_replace(coalesce(text, ''), '[ \t\n\r.,;:()\[\]]+', '', 'g'))"
+
+
+@query(f"SELECT doc_id, CASE WHEN k <> '' AND row_number() OVER w > 1 THEN first_value(doc_id) OVER w END AS duplicate_of FROM (SELECT doc_id, {KEY_SQL} AS k FROM documents) WINDOW w AS (PARTITION BY k ORDER BY doc_id)", bound=False)
+def duplicate_first_occurrence(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", structure.ascii_key(F.col("text")).alias("key"))
+    return structure.first_occurrence(rows, [], "key", "doc_id", ["doc_id"]).select("doc_id", "duplicate_of")
+
+
+@query(f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents), k AS (SELECT doc_id, i // 4 AS page, {KEY_SQL} AS key FROM l), n AS (SELECT doc_id, count(DISTINCT page) AS p FROM k GROUP BY 1 HAVING count(DISTINCT page) >= 3) SELECT doc_id, key, count(DISTINCT page) AS pages FROM k JOIN n USING (doc_id) WHERE length(key) BETWEEN 1 AND 80 GROUP BY doc_id, key, p HAVING count(DISTINCT page) >= greatest(2, ceil(p / 2))", bound=False)
+def repeated_lines(spark, d):
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return structure.repeated_page_lines(lines.select("doc_id", F.floor(F.col("i") / 4).alias("page"), structure.ascii_key(F.col("line")).alias("key")))
+
+
+@query("SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN substr(text, 1, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 'unclassified') AS section FROM conversations", bound=False)
+def section_forward_fill(spark, d):
+    rows = read(spark, d, "conversations")
+    return structure.forward_fill(rows, ["conv_id"], ["turn"], F.when(F.col("role") == "user", F.substring("text", 1, 20)), "unclassified", "section").select("conv_id", "turn", "section")
+
+
+@query("WITH n AS (SELECT l_suppkey, l_orderkey, l_linenumber AS n, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS p FROM lineitem), s AS (SELECT *, lag(n) OVER (PARTITION BY l_suppkey ORDER BY p) AS b FROM n), i AS (SELECT *, sum(CASE WHEN n = 1 OR b IS NULL OR n <> b + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY p ROWS UNBOUNDED PRECEDING) AS g FROM s), r AS (SELECT l_suppkey, g, min(p) AS run_start, count(*) AS run_length FROM i GROUP BY 1, 2 HAVING min(n) = 1) SELECT l_suppkey, arg_max(run_start, run_length * 10000000 - run_start) AS run_start, max(run_length) AS run_length FROM r GROUP BY 1", bound=False)
+def claim_run_islands(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
+    rows = read(spark, d, "lineitem").select("l_suppkey", F.col("l_linenumber").alias("n"), F.row_number().over(w).cast("long").alias("p"))
+    return structure.longest_runs(rows, ["l_suppkey"], "p", "n")
+
+
+def _grams_sql(width: int, key: str = "k") -> str:
+    return f"list_distinct(list_transform(range(1, greatest(0, length({key}) - {width - 1}) + 1), lambda i: substr({key}, i, {width})))"
+
+
+@query(f"WITH c AS (SELECT {_grams_sql(2)} AS c FROM (SELECT {KEY_SQL} AS k FROM benchmark WHERE item_id = 0)), b AS (SELECT item_id, {_grams_sql(2)} AS g FROM (SELECT item_id, {KEY_SQL} AS k FROM benchmark)) SELECT item_id, CASE WHEN len(g) > 0 AND len(c) > 0 THEN round_even(len(list_intersect(g, c)) / len(c), 6) ELSE 0 END AS overlap FROM b, c", bound=False)
+def char_ngram_overlap(spark, d):
+    rows = read(spark, d, "benchmark").select("item_id", evidence.char_ngrams(structure.ascii_key(F.col("text")), 2).alias("g"))
+    company = rows.where("item_id = 0").select(F.col("g").alias("c"))  # one row
+    return rows.crossJoin(F.broadcast(company)).select("item_id", F.bround(evidence.overlap(F.col("g"), F.col("c")), 6).alias("overlap"))
+
+
+@query(f"WITH b AS (SELECT item_id, {_grams_sql(3)} AS g FROM (SELECT item_id, {KEY_SQL} AS k FROM benchmark)) SELECT a.item_id AS a, b.item_id AS b, round_even(len(list_intersect(a.g, b.g)) / greatest(1, len(list_distinct(list_concat(a.g, b.g)))), 6) AS jaccard FROM b a JOIN b ON b.item_id = a.item_id + 1", bound=False)
+def ngram_jaccard(spark, d):
+    rows = read(spark, d, "benchmark").select("item_id", evidence.char_ngrams(structure.ascii_key(F.col("text")), 3).alias("g"))
+    nxt = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("g").alias("h"))
+    return rows.join(nxt, "item_id").select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"), F.bround(evidence.jaccard(F.col("g"), F.col("h")), 6).alias("jaccard"))
+
+
+def _paragraphs(spark, d):
+    """Documents as paragraph rows: the source picks the section, words of the text its roles."""
+    docs = read(spark, d, "documents")
+    names = F.array(*[F.lit(s) for s in ("solution", "background", "problem", "embodiments", "summary")])
+    pick = F.get(names, (F.col("doc_id") % 5).cast("int"))
+    roles = F.filter(F.array(F.when(F.col("doc_id") % 2 == 0, "control"), F.when(F.col("doc_id") % 3 == 0, "parameter")), lambda r: r.isNotNull())
+    return docs.select("doc_id", pick.alias("section"), roles.alias("roles"), F.when(F.col("doc_id") % 7 == 0, "0001").alias("paragraph_number"), (F.col("doc_id") % 11 == 0).alias("boilerplate"), F.when(F.col("doc_id") % 13 == 0, "P0001-N0001").alias("duplicate_of"), F.col("source"))
+
+
+@query("WITH s AS (SELECT doc_id, source, CASE WHEN doc_id % 5 = 1 THEN -100.0 ELSE [10, 0, 0, 4, 4][doc_id % 5 + 1] + CASE WHEN doc_id % 2 = 0 THEN 6 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN doc_id % 7 = 0 THEN 0.5 ELSE 0 END - CASE WHEN doc_id % 11 = 0 THEN 20 ELSE 0 END - CASE WHEN doc_id % 13 = 0 THEN 30 ELSE 0 END END::DOUBLE AS score FROM documents) SELECT source, doc_id, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s QUALIFY rank <= 5", bound=False)
+def evidence_score_topk(spark, d):
+    from pyspark.sql import Window
+
+    rows = _paragraphs(spark, d).select("source", "doc_id", evidence.paragraph_score("similarity").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.col("score").desc(), "doc_id"))
+    return rows.withColumn("rank", rank).where("rank <= 5")
+
+
+@query()
+def paragraph_units(spark, d):
+    pages = read(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    return structure.structured_paragraphs(pages).select("doc_id", "paragraph_id", "section", "characters", "duplicate_of", "sha256")
+
+
+@query()
+def evidence_pack(spark, d):
+    pages = read(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    packs = evidence.evidence_packs(structure.structured_paragraphs(pages), structure.structured_claims(pages), "制御装置と処理方法")
+    return packs.select("doc_id", "task", "maximum", F.length("rendered_text").alias("characters"), F.size("sources").alias("sources"), "candidates", "near_duplicates")
+
+
+@query("SELECT a.label AS a, b.label AS b, round(1 - list_cosine_similarity(a.v, b.v), 6) AS distance FROM (SELECT label, embedding::DOUBLE[] AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) a JOIN (SELECT label, embedding::DOUBLE[] AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) b ON a.label < b.label", bound=False)
+def cosine_pairs(spark, d):
+    few = lifecycle.latest(read(spark, d, "embeddings"), ["label"], [F.col("vec_id")])
+    return vectors.cosine_pairs(few, "label", "embedding").withColumn("distance", F.round("distance", 6))
+
+
+@query("SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS distance FROM embeddings", bound=False)
+def cosine_to_reference(spark, d):
+    rows = read(spark, d, "embeddings")
+    reference = rows.where("vec_id = 0").select(F.col("embedding").alias("_r"))  # one row
+    return rows.crossJoin(F.broadcast(reference)).select("vec_id", F.round(vectors.cosine_distance(F.col("embedding"), F.col("_r")), 6).alias("distance"))
+
+
+CENTROID = "u AS (SELECT label, unnest(embedding::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS x, unnest(range(len(embedding)))::INTEGER AS dim FROM embeddings), m AS (SELECT label, dim, avg(x) AS m FROM u GROUP BY 1, 2), c AS (SELECT label, dim, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS value FROM m)"
+
+
+@query(f"WITH {CENTROID} SELECT label, dim, round(value, 6) AS value FROM c", bound=False)
+def cluster_centroids(spark, d):
+    return vectors.centroids(read(spark, d, "embeddings"), "label", "embedding").withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {CENTROID}, r AS (SELECT unnest(range(len(embedding)))::INTEGER AS dim, unnest(embedding::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS r FROM embeddings WHERE vec_id = 0), p AS (SELECT label, sum(value * r) AS s FROM c JOIN r USING (dim) GROUP BY 1) SELECT label, round_even(CASE WHEN (SELECT max(s) - min(s) FROM p) <= 1e-12 THEN 1 ELSE (s - (SELECT min(s) FROM p)) / (SELECT max(s) - min(s) FROM p) END, 6) AS relative_proximity FROM p", bound=False)
+def relative_proximity(spark, d):
+    rows = read(spark, d, "embeddings")
+    reference = rows.where("vec_id = 0").select(F.posexplode(vectors.unit(F.col("embedding"))).alias("dim", "r"))
+    near = vectors.centroids(rows, "label", "embedding").join(F.broadcast(reference), "dim").groupBy("label").agg(F.sum(F.col("value") * F.col("r")).alias("s"))
+    return grid.relative_proximity(near, "s").select("label", "relative_proximity")
+
+
+@query("WITH p AS (SELECT vec_id, list_transform(range(0, 16), lambda i: embedding[i * 4 + 1]::DOUBLE - embedding[i * 4 + 2]::DOUBLE + embedding[i * 4 + 3]::DOUBLE - embedding[i * 4 + 4]::DOUBLE) AS s FROM embeddings) SELECT vec_id, unnest(range(0, 16))::INTEGER AS dim, round(unnest(list_transform(s, lambda x: x / sqrt(list_dot_product(s, s)))), 6) AS value FROM p", bound=False)
+def fixed_projection(spark, d):
+    rows = read(spark, d, "embeddings").select("vec_id", F.posexplode(vectors.fixed_projection(F.col("embedding"), 64, 16)).alias("dim", "value"))
+    return rows.withColumn("value", F.round("value", 6))
+
+
+@query()
+def agglomerative_clusters(spark, d):
+    return vectors.clusters(read(spark, d, "embeddings").where("vec_id < 120"), "vec_id", "embedding")
+
+
+@query()
+def minibatch_clusters(spark, d):
+    return vectors.clusters(read(spark, d, "embeddings"), "vec_id", "embedding", k=12)
+
+
+@query()
+def semantic_order(spark, d):
+    rows = vectors.centroids(read(spark, d, "embeddings"), "label", "embedding").collect()  # a few centroids
+    by: dict = {}
+    for r in rows:
+        by.setdefault(str(r["label"]), {})[r["dim"]] = r["value"]
+    names = sorted(by)
+    order = vectors.semantic_order(names, [[by[n][k] for k in sorted(by[n])] for n in names])
+    return spark.createDataFrame([(n, i) for i, n in enumerate(order)], "label string, position int")
+
+
+GRID = f""", cells AS (SELECT tech::VARCHAR AS tech, problem::VARCHAR AS problem, count(*) AS count FROM docs WHERE state = 'ready' AND {IN_NARROW} GROUP BY 1, 2 HAVING count(*) >= 3),
+xs AS (SELECT tech, row_number() OVER (ORDER BY tech) - 1 AS x FROM cells GROUP BY tech), ys AS (SELECT problem, row_number() OVER (ORDER BY problem) - 1 AS y FROM cells GROUP BY problem),
+g AS (SELECT tech, problem, x, y, coalesce(count, 0) AS count FROM xs CROSS JOIN ys LEFT JOIN cells USING (tech, problem)),
+t AS (SELECT *, sum(count) OVER (PARTITION BY tech) AS tt, sum(count) OVER (PARTITION BY problem) AS pt FROM g)"""
+
+
+def _gaps(spark, d):
+    return facets.technology_cells(NARROW.apply(binding.tables(spark, d))).where("count >= 3")
+
+
+@query(GRID + """, s AS (SELECT tech, problem, x, y, pt / (SELECT max(pt) FROM t) AS demand, tt / (SELECT max(tt) FROM t) AS capability,
+  (SELECT count(*) FILTER (WHERE n.count > 0) FROM g n WHERE abs(n.x - t.x) + abs(n.y - t.y) = 1) AS occupied_neighbours,
+  (SELECT count(*) FILTER (WHERE n.count > 0) / count(*) FROM g n WHERE abs(n.x - t.x) + abs(n.y - t.y) = 1) AS adjacency FROM t WHERE count = 0)
+SELECT tech, problem, occupied_neighbours, round(0.3 * demand + 0.25 * capability + 0.2 * adjacency, 6) AS opportunity, round(0.4 * capability + 0.3 * demand + 0.3 * adjacency, 6) AS bridge FROM s""")
+def whitespace_scores(spark, d):
+    out = grid.whitespace_scores(_gaps(spark, d))
+    return out.select("tech", "problem", "occupied_neighbours", F.round("opportunity", 6).alias("opportunity"), F.round("bridge", 6).alias("bridge"))
+
+
+@query("RECURSIVE" + GRID + """, e AS (SELECT tech, problem, x, y FROM g WHERE count = 0),
+w AS (SELECT x, y, x AS x0, y AS y0 FROM e UNION SELECT e.x, e.y, w.x0, w.y0 FROM w JOIN e ON abs(e.x - w.x) + abs(e.y - w.y) = 1),
+b AS (SELECT x, y, min(x0 * (SELECT count(*) FROM ys) + y0) AS block, count(*) AS block_size FROM w GROUP BY 1, 2)
+SELECT tech, problem, block, block_size, CASE WHEN block_size >= greatest(4, ceil((SELECT count(*) FROM g) / 5)) THEN 'large' WHEN block_size > 1 THEN 'contiguous' ELSE 'isolated' END AS pattern FROM e JOIN b USING (x, y)""")
+def whitespace_blocks(spark, d):
+    return grid.whitespace_blocks(_gaps(spark, d))
+
+
+ORACLES["whitespace_blocks"] = "WITH RECURSIVE " + SQL + ORACLES["whitespace_blocks"].split("RECURSIVE", 1)[1]
+PROPS = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 0, "maximum": 50}}, "additionalProperties": False}
+
+
+@query("SELECT event_id, coalesce((props->>'k')::BIGINT BETWEEN 0 AND 50, false) AS ok FROM events", bound=False)
+def schema_validation(spark, d):
+    return read(spark, d, "events").select("event_id", grounding.validated(F.col("props"), PROPS).alias("v")).select("event_id", "v.ok")
+
+
+@query("WITH c AS (SELECT event_type AS task, event_id % 3 <> 0 AS verified FROM events), g AS (SELECT task, count(*) FILTER (WHERE verified) AS verified, count(*) FILTER (WHERE NOT verified) AS invalid FROM c GROUP BY task UNION ALL SELECT 'all', count(*) FILTER (WHERE verified), count(*) FILTER (WHERE NOT verified) FROM c) SELECT task, verified, invalid, round_even(verified / (verified + invalid), 6) AS rate FROM g", bound=False)
+def grounding_summary(spark, d):
+    return grounding.validation_rates(read(spark, d, "events").select(F.col("event_type").alias("task"), (F.col("event_id") % 3 != 0).alias("verified")))
+
+
+@query("SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1", bound=False)
+def incremental_latest(spark, d):
+    return keep_latest(read(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", bound=False)
+def event_hourly_window(spark, d):
+    out = windowed_counts(read(spark, d, "events"), "ts", ["event_type"])
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "events", F.round("total", 4).alias("total"))
