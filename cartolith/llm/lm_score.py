@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, text_or_empty
 
-WORD = re.compile(r"\w+|[^\w\s]")
+WORD = re.compile(r"\w+")
 BACKOFF = 0.4
 ORDER = 3
+#: Bits of an n-gram's hash. Of 10**13 different n-grams, one in 7,000 shares its hash with another.
+HASH_BITS = 56
 #: Characters of text that are dealt with together, and n-grams counted in one group.
 CHUNK_CHARS, GROUP_GRAMS = 8_000_000, 2_000_000
 
@@ -24,13 +26,15 @@ def _grams(words: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray
     """Hashes of the n-grams ending at each word, for n = 1 to order; 0 where a text has too few words before."""
     from .near_dedup import _scramble
 
-    out = [np.where(words == 0, np.uint64(1), words)]
+    words = np.where(words == 0, np.uint64(1), words)
+    out = [words]
     place = np.arange(len(words)) - starts
     for n in range(2, order + 1):
         shifted = np.concatenate((np.zeros(1, np.uint64), out[-1][:-1]))[: len(words)]
         g = _scramble(shifted * np.uint64(0x9E3779B97F4A7C15) + words + np.uint64(n))
         out.append(np.where(place >= n - 1, np.where(g == 0, np.uint64(1), g), np.uint64(0)))
-    return out
+    top = np.uint64(64 - HASH_BITS)
+    return [np.where(g == 0, g, np.maximum(g >> top, np.uint64(1))) for g in out]
 
 
 def _read(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,6 +112,9 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
     kind = rows.schema["id"].dataType.simpleString()
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(chunks)).cast("int"))
 
+    # groups are ranges of hashes, so that a chunk's sorted n-grams are dealt in order and lie close together
+    splits = np.array([(1 << HASH_BITS) * k // groups for k in range(groups)] + [1 << HASH_BITS], dtype=np.uint64)
+
     def ask(group):
         import pandas as pd
 
@@ -115,13 +122,10 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
         out = []
         for n, g in enumerate(_grams(words, starts, order), 1):
             keys, counts = _uncounted(g)
-            part = (keys >> np.uint64(33)) % np.uint64(groups)
-            by = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[by], np.arange(groups + 1))
-            for k in range(groups):
-                if edges[k] < edges[k + 1]:
-                    at = by[edges[k] : edges[k + 1]]
-                    out.append((k, n, group["chunk"].iloc[0], pack_sorted(keys[at]), pack_counts(counts[at])))
+            edges = np.searchsorted(keys, splits)
+            for k, (a, b) in enumerate(zip(edges, edges[1:])):
+                if a < b:
+                    out.append((k, n, group["chunk"].iloc[0], pack_sorted(keys[a:b]), pack_counts(counts[a:b])))
         return pd.DataFrame(out, columns=["part", "n", "chunk", "keys", "counts"])
 
     asked = dealt.groupBy("chunk").applyInPandas(ask, "part int, n int, chunk int, keys binary, counts binary")
@@ -130,16 +134,14 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
         import pandas as pd
 
         keys = [unpack_sorted(b) for b in group["keys"]]
-        if len(keys) == 1:
-            return group[["chunk", "n", "keys", "counts"]]
         flat = np.concatenate(keys)
         distinct, at = np.unique(flat, return_inverse=True)
         total = np.bincount(at, weights=np.concatenate([unpack_counts(b) for b in group["counts"]]), minlength=len(distinct)).astype(np.int64)
         ends = np.cumsum([len(k) for k in keys])
         sums = [total[at[e - len(k) : e]] for e, k in zip(ends, keys)]
-        return pd.DataFrame({"chunk": group["chunk"], "n": group["n"], "keys": group["keys"], "counts": [pack_counts(s) for s in sums]})
+        return pd.DataFrame({"chunk": group["chunk"], "n": group["n"], "part": group["part"], "counts": [pack_counts(s) for s in sums]})
 
-    told = asked.groupBy("part", "n").applyInPandas(add, "chunk int, n int, keys binary, counts binary")
+    told = asked.groupBy("part", "n").applyInPandas(add, "chunk int, n int, part int, counts binary")
 
     def judge(key, texts, told):
         import pandas as pd
@@ -150,21 +152,23 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
         grams = _grams(words, starts, order)
         seen, context = [], []
         for n, g in enumerate(grams, 1):
-            mine = told[told["n"] == n]
-            keys = np.concatenate([unpack_sorted(b) for b in mine["keys"]]) if len(mine) else np.empty(0, np.uint64)
+            # the answers in the order of groups are in the order of the sorted n-grams that were asked for
+            mine = told[told["n"] == n].sort_values("part")
             sums = np.concatenate([unpack_counts(b) for b in mine["counts"]]) if len(mine) else np.empty(0, np.int64)
-            by = np.argsort(keys)
-            keys, sums = keys[by], sums[by]
-            ok = g != 0
-            whole = np.zeros(len(g), np.int64)
-            whole[ok] = sums[np.searchsorted(keys, g[ok])]
-            # the text's own count of the n-gram
-            pair = np.lexsort((g, owner))
-            new = np.concatenate(([True], (g[pair][1:] != g[pair][:-1]) | (owner[pair][1:] != owner[pair][:-1]))) if len(g) else np.empty(0, bool)
-            run = np.cumsum(new) - 1
-            own = np.empty(len(g), np.int64)
-            own[pair] = np.bincount(run)[run] if len(g) else []
-            seen.append(np.where(ok, whole - own, 0))
+            if not len(g):
+                seen.append(np.zeros(0, np.int64))
+                continue
+            # texts follow each other, so a stable sort puts each n-gram's places in the order of their texts
+            by = np.argsort(g, kind="stable")
+            near, whose = g[by], owner[by]
+            new = np.concatenate(([True], near[1:] != near[:-1]))
+            own = np.cumsum(new | np.concatenate(([True], whose[1:] != whose[:-1]))) - 1
+            rank = np.cumsum(new) - 1
+            if near[0] == 0:  # places without an n-gram come first
+                sums = np.concatenate((np.zeros(1, np.int64), sums))
+            rest = np.empty(len(g), np.int64)
+            rest[by] = np.where(near != 0, sums[rank] - np.bincount(own)[own], 0)
+            seen.append(rest)
         best = np.full(len(words), np.nan)
         lost = np.zeros(len(words), np.int64)
         for n in range(order, 1, -1):
@@ -179,6 +183,6 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
         mean = [float(s / t) if t else None for s, t in zip(per, tokens)]
         return pd.DataFrame({"id": pd.Series(lists, dtype=texts["id"].dtype), "tokens": tokens, "log_score": per, "mean_log_score": mean, "backoffs": backs})
 
-    total = int(rows.agg(F.sum(F.regexp_count("text", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"))).cast("long")).first()[0] or 0)
+    total = int(rows.agg(F.sum(F.regexp_count("text", F.lit(r"[\p{L}\p{N}_]+"))).cast("long")).first()[0] or 0)
     out = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(judge, f"id {kind}, tokens long, log_score double, mean_log_score double, backoffs long")
     return out.withColumnRenamed("id", id_col)
