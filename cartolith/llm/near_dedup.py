@@ -2,7 +2,7 @@
 
 A sketch takes the few smallest hashes of a text's occurrence-labelled k-mers (k words, with the number of
 times they came before) and keeps them in text order, so two texts share a sketch only if they hold these
-k-mers in the same order. Candidates share several sketches; the alignment decides.
+k-mers in the same order. Candidates share a sketch and come near the threshold by an estimate; the alignment decides.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut
@@ -21,11 +22,12 @@ from .common import connected_components, cut
 WORD = re.compile(r"\w+")
 K = 5
 SIMILARITY = 0.8
-#: Sketches a text, k-mers a sketch, and sketches that candidates share at least. At a similarity of 0.8 a
-#: sketch of 3 is shared with probability 0.51, so of 20 at least 3 are in all but one case of 5,000.
-SKETCHES, ELL, SHARED = 20, 3, 3
-#: Texts compared in one task at a time: larger buckets are compared block by block.
-BLOCK = 2048
+#: Sketches a text and k-mers a sketch. At a similarity of 0.8 a sketch of 3 is shared with probability 0.51,
+#: so of 14 at least one is in all but one case of 20,000.
+SKETCHES, ELL = 14, 3
+#: Bins of the estimate by which candidates are chosen for the alignment, and by how many standard deviations
+#: the estimate may fall short: less than one pair of 4,000 at the threshold is lost.
+BINS, DEVIATIONS = 128, 3.5
 #: Texts that are aligned with one text in a task.
 ALIGNED = 200
 
@@ -66,31 +68,43 @@ def kmers(words: np.ndarray, k: int = K) -> np.ndarray:
     out = np.zeros(n - width + 1, dtype=np.uint64)
     for i in range(width):
         out = _scramble(out + words[i : n - width + 1 + i] * np.uint64(2 * i + 3))
+    ranked = np.sort(out)
+    if (ranked[1:] != ranked[:-1]).all():
+        return out
     order = np.argsort(out, kind="stable")
-    ranked = out[order]
     first = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-    if not first.all():
-        at = np.arange(len(ranked))
-        nth = at - np.maximum.accumulate(np.where(first, at, 0))
-        label = np.empty(len(ranked), dtype=np.uint64)
-        label[order] = nth.astype(np.uint64)
-        out = np.where(label > 0, _scramble(out + label * np.uint64(0x9E3779B97F4A7C15)), out)
-    return out
+    at = np.arange(len(ranked))
+    nth = at - np.maximum.accumulate(np.where(first, at, 0))
+    label = np.empty(len(ranked), dtype=np.uint64)
+    label[order] = nth.astype(np.uint64)
+    return np.where(label > 0, _scramble(out + label * np.uint64(0x9E3779B97F4A7C15)), out)
 
 
 def sketch(grams: np.ndarray, sketches: int = SKETCHES, ell: int = ELL) -> np.ndarray:
     """Signed 64-bit sketches: for each hash function, the `ell` smallest k-mers combined in text order."""
     take = min(ell, len(grams))
-    low = np.empty((sketches, take), dtype=np.int64)
-    for j in range(sketches):
-        h = _scramble(grams ^ _MIX[j])
-        low[j] = np.sort(np.argpartition(h, take - 1)[:take])
+    h = (grams[None, :] ^ _MIX[:sketches, None]) * np.uint64(0xBF58476D1CE4E5B9)
+    low = np.sort(np.argpartition(h, take - 1, axis=1)[:, :take], axis=1)
     out = np.arange(1, sketches + 1, dtype=np.uint64)
     for i in range(take):
         out = _scramble(out + grams[low[:, i]])
     return out.view(np.int64)
 
 
+def bins(grams: np.ndarray) -> np.ndarray:
+    """The smallest k-mer of each bin, 32 bits of it; 0 stands for an empty bin."""
+    out = np.full(BINS, 0xFFFFFFFF, dtype=np.uint32)
+    np.minimum.at(out, (grams % np.uint64(BINS)).astype(np.int64), (grams >> np.uint64(32)).astype(np.uint32) >> np.uint32(1))
+    return np.where(out == 0xFFFFFFFF, np.uint32(0), out + np.uint32(1))
+
+
+def close(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """For rows of bins: whether the share of k-mers in common may reach `least`."""
+    held = np.maximum(1, ((a != 0) | (b != 0)).sum(-1))
+    same = ((a == b) & (a != 0)).sum(-1)
+    return same / held >= least - DEVIATIONS * np.sqrt(least * (1 - least) / held)
+
+
 def alignment(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Order-aware similarity of two sequences of labelled k-mers: L / (len(a) + len(b) - L), or 0 if below `least`.
 
@@ -126,7 +140,7 @@ def alignment(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(id, key, n, sk) of every row: a digest of its words, the number of k-mers and the sketches."""
+    """(id, key, n, sk, bins) of every row: a digest of its words, the number of k-mers, the sketches and the bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -136,20 +150,28 @@ def _sketches(docs: DataFrame) -> DataFrame:
             ids = batch.column(0).to_pylist()
             for at in range(0, len(ids), 512):
                 part = batch.column(1).slice(at, 512).to_pylist()
-                key, n, sk = [], [], []
+                key, n, sk, low = [], [], [], []
                 for text in part:
                     w = words(text or "")
                     grams = kmers(w)
                     key.append(xxhash.xxh3_128_digest(w.tobytes()))
                     n.append(len(grams))
                     sk.append(sketch(grams) if len(grams) else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 512], pa.int64()), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(sk, pa.list_(pa.int64()))], ["id", "key", "n", "sk"])
+                    low.append(bins(grams).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 512], pa.int64()), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(sk, pa.list_(pa.int64())), pa.array(low, pa.binary())], ["id", "key", "n", "sk", "bins"])
+
+    return docs.mapInArrow(run, "id long, key binary, n long, sk array<long>, bins binary")
 
-    return docs.mapInArrow(run, "id long, key binary, n long, sk array<long>")
 
+def _table(blobs) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), dtype=np.uint32).reshape(-1, BINS)
 
-def _enough(a: str, b: str) -> str:
-    return f"size(filter(zip_with({a}, {b}, (x, y) -> x = y), x -> x)) >= {SHARED}"
+
+def _close(a: str, b: str) -> Column:
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(close(_table(a), _table(b))) if len(a) else pd.Series([], dtype=bool)
+
+    return F.pandas_udf(run, "boolean")(F.col(a), F.col(b))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -162,8 +184,6 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     right = own.groupBy(F.col("a").alias("c"), F.col("part").alias("d")).agg(F.first("text").alias("text"))
 
     def run(key, others, own):
-        import pandas as pd
-
         words = Words()
         grams = [kmers(words(t or "")) for t in own["text"][:1]]
         keep = [b for b, t in zip(others["b"], others["other"]) if grams and alignment(grams[0], kmers(words(t or "")))]
@@ -172,33 +192,54 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return left.groupBy("a", "part").cogroup(right.groupBy("c", "d")).applyInPandas(run, "a long, b long")
 
 
-def _rest(buckets: DataFrame) -> DataFrame:
-    """Candidate pairs of different components within a bucket (j, h, size, id, comp, n, sk), block by block."""
-    blocks = F.ceil(F.col("size") / BLOCK)
-    own = F.pmod(F.xxhash64("id"), blocks)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    dealt = buckets.withColumn("own", own).withColumn("k", other).select("*", F.least("own", "k").alias("lo"), F.greatest("own", "k").alias("hi"))
+def _prefixes(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(g, id, n, alone, place, short): the k-mers by which texts (id, n) are joined so that no pair is left out.
 
-    def run(group):
-        import pandas as pd
+    Two sets of n <= m k-mers with a similarity of t have c = t / (1 + t) * (n + m) in common at least. So with k-mers
+    in one order for all, rare ones first, they have one in common at a `place` of at most n - c + 1 in the smaller and
+    m - c + 1 in the larger; at most n - 2 t / (1 + t) * n + 1 (`short`) and m - t * m + 1 whatever the other's size.
+    K-mers of one text alone come first and are only counted (`alone`), so a text with too many changes of its own
+    has nothing left to post, however large its group.
+    """
+    small = lambda n: n - F.ceil(n * (2 * SIMILARITY / (1 + SIMILARITY)) - 1e-9) + 1
+    large = lambda n: n - F.ceil(n * SIMILARITY - 1e-9) + 1
 
-        group = group.sort_values("n", kind="stable")
-        ids, comp, n, own = (group[c].to_numpy() for c in ("id", "comp", "n", "own"))
-        sk = np.stack(group["sk"].to_numpy()) if len(group) else np.empty((0, SKETCHES))
-        cross = group["lo"].iloc[0] != group["hi"].iloc[0]
-        out = []
-        for i in range(len(ids) - 1):
-            end = np.searchsorted(n, n[i] / SIMILARITY, side="right")
-            js = np.arange(i + 1, end)
-            js = js[comp[js] != comp[i]]
-            if cross:
-                js = js[own[js] != own[i]]
-            if len(js):
-                js = js[(sk[js] == sk[i]).sum(1) >= SHARED]
-                out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for at in range(0, len(ids), 512):
+                grams = [kmers(words(t or "")).view(np.int64) for t in batch.column(1).slice(at, 512).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 512], pa.int64()), pa.array(grams, pa.list_(pa.int64()))], ["id", "grams"])
+
+    whole = docs.join(texts.select("id"), "id").groupBy("id").agg(F.first("text").alias("text"))
+    posts = cut(whole.mapInArrow(run, "id long, grams array<long>"), "grams").select("id", F.explode("grams").alias("g"))
+    shared = posts.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
+    order = Window.partitionBy("id").orderBy("c", "g")
+    ranked = posts.join(shared, "g").select("id", "g", F.row_number().over(order).alias("at"), F.count("*").over(Window.partitionBy("id")).alias("held"))
+    alone = F.col("n") - F.col("held")
+    first = ranked.join(texts, "id").withColumn("alone", alone).where(F.col("at") + F.col("alone") <= large(F.col("n")))
+    place = F.col("at") + F.col("alone")
+    return cut(first.select("g", "id", "n", "alone", place.alias("place"), (place <= small(F.col("n"))).alias("short")), "prefixes")
 
-    return dealt.groupBy("j", "h", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+
+def _joined(prefixes: DataFrame, comps: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of different components among the prefixes.
+
+    A place rules out all smaller texts above some size; posts that no text of their k-mer can meet are left out, and
+    then k-mers of one component alone, before anything is joined.
+    """
+    t = SIMILARITY / (1 + SIMILARITY)
+    least = prefixes.where("short").groupBy("g").agg(F.min("n").alias("least"))
+    meets = (F.col("n") + 1 - F.col("place")) / t - F.col("n") + 1e-6
+    first = prefixes.join(least, "g").where(F.col("short") | (meets >= F.col("least"))).drop("least").join(comps, "id")
+    mixed = first.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("g")
+    first = first.join(mixed, "g")
+    x = first.where("short").select("g", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("place").alias("px"))
+    y = first.select("g", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("place").alias("py"))
+    common = f"ceil({t!r} * (nx + ny) - 1e-9)"
+    met = x.join(y, "g").where(f"cx <> cy and nx <= ny and nx >= {SIMILARITY} * ny - 1e-9 and px <= nx - {common} + 1 and py <= ny - {common} + 1")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def order_minhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,26 +253,40 @@ def order_minhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str =
     table gives an empty result.
 
     Every bucket of texts with a common sketch is first compared with one of its texts, which connects
-    a group of any size with as many pairs as it has texts. Where a bucket then still holds several
-    components, all its pairs of different components that share enough sketches are aligned as well.
+    a group of any size with as many pairs as it has texts. Buckets of three and more that then still hold several
+    components are compared with the text that has the fewest k-mers of its own, and what is left of them is
+    joined by an exact prefix filter and aligned as well.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = cut(_sketches(docs), "sketches")
-    best = F.min(F.struct("id", "n", "sk"))
+    best = F.min(F.struct("id", "n", "sk", "bins"))
     texts = cut(rows.where("id is not null").groupBy("key").agg(best.alias("m"), F.count("*").alias("copies")).select("key", "m.*", "copies"), "texts")
     posted = texts.where("n > 0").select("id", "n", F.posexplode("sk").alias("j", "h"))
     buckets = posted.groupBy("j", "h").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
     held = cut(posted.join(buckets, ["j", "h"]), "buckets")
-    side = texts.select("id", "n", "sk")
+    side = texts.select("id", "n", "bins")
     star = held.where("id <> first").groupBy(F.col("first").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("c"))
-    star = star.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b").where(f"least(na, nb) >= {SIMILARITY} * greatest(na, nb)").where(_enough("sa", "sb")).select("a", "b")
-    linked = cut(_verify(star, docs), "links")
-    comps = connected_components(linked)
-    named = cut(texts.select("id").join(comps, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("comp")), "components")
-    open_ = held.join(named, "id").groupBy("j", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("j", "h")
-    left = held.join(open_, ["j", "h"]).join(named, "id").join(side.select("id", "sk"), "id").select("j", "h", "size", "id", "comp", "n", "sk")
-    more = cut(_verify(_rest(left), docs), "links")
-    links = linked.union(more)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
+        return both.where(f"least(na, nb) >= {SIMILARITY} * greatest(na, nb) - 1e-9").where(_close("sa", "sb")).select("a", "b")
+
+    def named(links: DataFrame) -> DataFrame:
+        return cut(texts.select("id").join(connected_components(links), F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("comp")), "components")
+
+    linked = cut(_verify(near(star), docs), "links")
+    comps = named(linked)
+    crowded = held.where("size > 2")
+    open_ = crowded.join(comps, "id").groupBy("j", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("j", "h")
+    crowded = crowded.join(open_, ["j", "h"]).select("j", "h", "id")
+    prefixes = _prefixes(cut(crowded.select("id").distinct().join(texts.select("id", "n"), "id"), "open"), docs)
+    # the text of a bucket with the fewest k-mers of its own is likely what the others were made from
+    posting = crowded.join(prefixes.select("id", "alone").distinct(), "id").join(comps, "id")
+    centre = posting.groupBy("j", "h").agg(F.min(F.struct("alone", "id", "comp")).alias("m")).select("j", "h", F.col("m.id").alias("mid"), F.col("m.comp").alias("other"))
+    again = posting.join(centre, ["j", "h"]).where("comp <> other").select(F.least("mid", "id").alias("a"), F.greatest("mid", "id").alias("b")).distinct()
+    linked = cut(linked.union(_verify(near(again), docs)), "links")
+    more = cut(_verify(near(_joined(prefixes, named(linked))), docs), "links")
+    links = linked.union(more).distinct()
     final = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     classes = texts.select("key", "id", "copies").join(final, F.col("id") == F.col("node"), "left").select("key", "id", "copies", F.coalesce("component", "id").alias("class_id"))
