@@ -90,7 +90,7 @@ def document_year(date: Column, manifest: Column, number: Column) -> Column:
 
 def publications(numbers: Column, dates: Column) -> Column:
     """ARRAY<STRUCT<number, date, kind>> of two comma lists, paired by place."""
-    parts = lambda c: F.filter(F.transform(F.split(c, ","), F.trim), lambda v: v != "")
+    parts = lambda c: F.filter(F.transform(F.split(c, ","), lambda v: F.trim(v)), lambda v: v != "")
     ds = parts(dates)
     return F.transform(
         parts(numbers), lambda n, i: F.struct(n.alias("number"), F.replace(F.get(ds, i), F.lit("."), F.lit("-")).alias("date"), F.when(F.upper(n).startswith("WO"), "wo").otherwise("domestic").alias("kind"))
