@@ -43,7 +43,7 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 class Words:
     """64-bit hashes of words, kept for as many words as a worker may remember."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         import xxhash
 
         self.hash, self.known, self.most = xxhash.xxh3_64_intdigest, {}, most

@@ -88,10 +88,11 @@ def ids_of(path: str) -> Ids:
     return Ids(path)
 
 
-def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, remember: bool = True) -> DataFrame:
     """One row per piece of a document: full windows from its start, then what is left.
 
-    A null text counts as empty and gives one piece of the end id alone.
+    A null text counts as empty and gives one piece of the end id alone. With `remember`, a worker keeps the ids of
+    words from task to task; without, it gives their memory back, for jobs with other stages on the same workers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,6 +113,8 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                         for column, value in zip(out, (doc, k, min(window, total - k), crc, total)):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        if not remember:
+            ids_of.cache_clear()
 
     return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, PIECE_SCHEMA)
 
@@ -207,7 +210,7 @@ def intervals(solved: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
     return out
 
 
-def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, remember: bool = True) -> DataFrame:
     """Every piece of every document with its sequence and its offset there.
 
     Ties (pieces of one length) are dealt by document and start. Repeated rows are packed each by itself. An
@@ -215,7 +218,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     (at most `window` rows) and the solved patterns (at most PATTERNS + window).
     """
     spark = df.sparkSession
-    cutted = cut(pieces(df, tokenizer, id_col, text_col, window), "pieces")
+    cutted = cut(pieces(df, tokenizer, id_col, text_col, window, remember), "pieces")
     counts = {r["length"]: r["n"] for r in cutted.groupBy("length").agg(F.count("*").alias("n")).collect()}
     solved = intervals(solve(counts, window))
     total = sum(counts.values())
