@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, give_back
 
 WORD = re.compile(r"\w+")
 K = 5
@@ -159,6 +159,8 @@ def _sketches(docs: DataFrame) -> DataFrame:
                     sk.append(sketch(grams) if len(grams) else np.empty(0, np.int64))
                     low.append(bins(grams).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 512], pa.int64()), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(sk, pa.list_(pa.int64())), pa.array(low, pa.binary())], ["id", "key", "n", "sk", "bins"])
+        del words
+        give_back()
 
     return docs.mapInArrow(run, "id long, key binary, n long, sk array<long>, bins binary")
 
@@ -211,6 +213,8 @@ def _prefixes(texts: DataFrame, docs: DataFrame) -> DataFrame:
             for at in range(0, len(ids), 512):
                 grams = [kmers(words(t or "")).view(np.int64) for t in batch.column(1).slice(at, 512).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 512], pa.int64()), pa.array(grams, pa.list_(pa.int64()))], ["id", "grams"])
+        del words
+        give_back()
 
     whole = docs.join(texts.select("id"), "id").groupBy("id").agg(F.first("text").alias("text"))
     posts = cut(whole.mapInArrow(run, "id long, grams array<long>"), "grams").select("id", F.explode("grams").alias("g"))

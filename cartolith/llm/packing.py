@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed_rank, cut
+from .common import bucketed_rank, cut, give_back
 
 WINDOW = 2048
 END_ID = 1
@@ -114,7 +114,9 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
         if not remember:
+            del ids
             ids_of.cache_clear()
+            give_back()
 
     return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, PIECE_SCHEMA)
 
