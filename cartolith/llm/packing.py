@@ -19,10 +19,12 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Patterns that the least-squares step considers at most, and its steps.
 PATTERNS, STEPS = 4096, 200
-#: Distinct words whose ids a Python worker keeps; then it starts afresh.
-CACHE_WORDS = 1_000_000
+#: Distinct words whose ids a Python worker keeps; then it starts afresh. FEW_WORDS holds where other stages share the workers.
+CACHE_WORDS, FEW_WORDS = 1_000_000, 100_000
+#: Words that the tokenizer encodes at a time; its results take about a kilobyte a word until they are read.
+ENCODED = 4096
 #: Texts that are split into words at a time.
-SLICE_ROWS = 1024
+SLICE_ROWS = 256
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -34,14 +36,15 @@ class Ids:
     is a token of its own, so `word,` is looked up as `word` and `,`.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        self.most = most
         self.model = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
 
     def add(self, words: list[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > self.most:
             self.known = {"": b""}
         known, marked, new = self.known, {}, set()
         for w in words:
@@ -56,8 +59,10 @@ class Ids:
                 else:
                     new.add(w)
         ordered = [w for w in new if w not in known]
-        for w, e in zip(ordered, self.model.encode_batch_fast(ordered, add_special_tokens=False)):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for at in range(0, len(ordered), ENCODED):
+            some = ordered[at : at + ENCODED]
+            for w, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)):
+                known[w] = np.array(e.ids, dtype="<u4").tobytes()
         for w, core in marked.items():
             known[w] = known[core] if len(core) == len(w) else known[core] + known[w[-1]]
 
@@ -80,23 +85,23 @@ class Ids:
 
 
 @lru_cache(1)
-def ids_of(path: str) -> Ids:
+def ids_of(path: str, most: int) -> Ids:
     """One for a Python worker, so that what it knows lasts from task to task."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Ids(path)
+    return Ids(path, most)
 
 
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, remember: bool = True) -> DataFrame:
     """One row per piece of a document: full windows from its start, then what is left.
 
     A null text counts as empty and gives one piece of the end id alone. With `remember`, a worker keeps the ids of
-    words from task to task; without, it gives their memory back, for jobs with other stages on the same workers.
+    words from task to task; without, it keeps few and gives their memory back, for jobs with other stages on the same workers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ids_of(tokenizer)
+        ids = ids_of(tokenizer, CACHE_WORDS if remember else FEW_WORDS)
         last = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             docs = batch.column(0).to_pylist()
