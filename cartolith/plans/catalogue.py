@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence, facets, grid, grounding, lifecycle, structure, trend, vectors
+from ..operators import evidence, facets, grid, grounding, lifecycle, registry, structure, trend, vectors
 from ..operators.model import DocumentFilter
 from ..sources import patent_list
 from ..streaming.ingest import keep_latest, windowed_counts
@@ -430,3 +430,33 @@ def incremental_latest(spark, d):
 def event_hourly_window(spark, d):
     out = windowed_counts(read(spark, d, "events"), "ts", ["event_type"])
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "events", F.round("total", 4).alias("total"))
+
+
+@query("SELECT r_name AS research_id, r_regionkey % 2 = 0 AS kept, count(patent_id) AS documents FROM region LEFT JOIN docs ON research_id = r_name WHERE r_regionkey <> 3 GROUP BY 1, 2")
+def list_researches(spark, d):
+    rows = read(spark, d, "region").select(F.col("r_name").alias("research_id"), (F.col("r_regionkey") % 2 == 0).alias("kept"), F.when(F.col("r_regionkey") == 3, "archived").otherwise("active").alias("lifecycle_status"))
+    return registry.list_researches(rows, binding.documents(spark, d)).select("research_id", "kept", "documents")
+
+
+@query("SELECT count(*) AS vectors, count(*) FILTER (WHERE embedding IS NULL) AS missing, count(*) FILTER (WHERE len(embedding) <> 64) AS wrong_length, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = vec_id)) AS orphans FROM embeddings", bound=False)
+def embedding_integrity(spark, d):
+    vectors_ = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.lit(64).alias("dimensions"))
+    return registry.embedding_integrity(vectors_, read(spark, d, "labels"), ["doc_id"])
+
+
+@query("SELECT label AS cluster, vec_id AS key FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 20", bound=False)
+def cluster_first_members(spark, d):
+    return registry.first_members(read(spark, d, "embeddings").select(F.col("label").alias("cluster"), F.col("vec_id").alias("key")))
+
+
+@query("SELECT count(*) FILTER (WHERE state <> 'skipped' AND patent_id % 4 > 1) AS valid, count(*) FILTER (WHERE state <> 'skipped' AND patent_id % 4 = 0) AS missing, count(*) FILTER (WHERE state <> 'skipped' AND patent_id % 4 = 1) AS invalid, count(*) FILTER (WHERE state = 'skipped') AS skipped FROM docs")
+def structure_tallies(spark, d):
+    docs = binding.documents(spark, d)
+    structured = docs.where("patent_id % 4 <> 0").select("patent_id", (F.col("patent_id") % 4 > 1).alias("valid"))
+    return registry.structure_tallies(docs, structured)
+
+
+@query("SELECT patent_id FROM docs WHERE state <> 'ready' AND patent_id % 3 <> 0")
+def open_work(spark, d):
+    docs = binding.documents(spark, d).withColumn("skip_reason", F.lit(None).cast("string"))
+    return registry.open_work(docs, docs.where("patent_id % 3 = 0"), ["patent_id"]).select("patent_id")

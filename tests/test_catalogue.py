@@ -41,3 +41,17 @@ def test_matches_sql(spark, duck, name):
     rows = lambda df: sorted((tuple(map(plain, r)) for r in df[columns].itertuples(index=False)), key=str)
     assert rows(got) == rows(want)
     assert not any(isinstance(v, float) and math.isinf(v) for r in rows(got) for v in r)
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
+def test_dashboard(spark, duck):
+    from cartolith.operators import registry
+    from cartolith.plans import binding
+
+    parts = registry.dashboard(binding.tables(spark, SF), catalogue.SELECTED)
+    head = parts["headline"].first()
+    want = duck.sql(catalogue.ORACLES["headline_metrics"]).df().iloc[0]
+    assert all(head[c] == want[c] for c in ("total", "ready", "registered", "threat"))
+    assert parts["threat"].count() == 25 and parts["organizations"].count() == 10
+    assert parts["statuses"].agg({"count": "sum"}).first()[0] == head["total"]
+    assert parts["technology"].agg({"count": "sum"}).first()[0] == head["ready"] and 0 < parts["years"].count() <= 5
