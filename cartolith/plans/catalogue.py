@@ -238,7 +238,7 @@ def csv_diff(spark, d):
 
 @query("WITH k AS (SELECT o_orderkey, 0 AS pr, o_orderkey % 2000 AS key FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey, 1, o_custkey % 2000 FROM orders WHERE o_orderkey % 10 = 0), h AS (SELECT DISTINCT o_orderkey, pr, p_name || '.pdf' AS pdf FROM k JOIN part ON p_partkey = key) SELECT o_orderkey, h.pdf, n AS candidates FROM (SELECT DISTINCT o_orderkey FROM k) LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY pr, pdf) AS r, count(*) OVER (PARTITION BY o_orderkey) AS n FROM h) h USING (o_orderkey) WHERE r = 1", bound=False)
 def number_match_priority(spark, d):
-    o = read(spark, d, "orders").where("o_orderkey % 10 = 0")
+    o = read(spark, d, "orders")
     keys = F.array(*[F.struct(F.lit(i).alias("priority"), (F.col(c) % 2000).alias("key")) for i, c in enumerate(("o_orderkey", "o_custkey"))])
     wanted = o.select("o_orderkey", F.explode(keys).alias("k")).select("o_orderkey", "k.*")
     pool = read(spark, d, "part").select(F.col("p_partkey").alias("key"), F.concat("p_name", F.lit(".pdf")).alias("pdf"))
@@ -263,7 +263,7 @@ def repeated_lines(spark, d):
 @query("SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN substr(text, 1, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 'unclassified') AS section FROM conversations", bound=False)
 def section_forward_fill(spark, d):
     rows = read(spark, d, "conversations")
-    return structure.forward_fill(rows, ["conv_id"], ["turn"], F.when(F.col("role") == "user", F.substring("text", 1, 20)), "unclassified", "section").select("conv_id", "turn", "section")
+    return structure.forward_fill(rows, ["conv_id"], ["turn"], F.when(F.col("role") == "user", F.col("text")), "unclassified", "section").select("conv_id", "turn", "section")
 
 
 @query("WITH n AS (SELECT l_suppkey, l_orderkey, l_linenumber AS n, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS p FROM lineitem), s AS (SELECT *, lag(n) OVER (PARTITION BY l_suppkey ORDER BY p) AS b FROM n), i AS (SELECT *, sum(CASE WHEN n = 1 OR b IS NULL OR n <> b + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY p ROWS UNBOUNDED PRECEDING) AS g FROM s), r AS (SELECT l_suppkey, g, min(p) AS run_start, count(*) AS run_length FROM i GROUP BY 1, 2 HAVING min(n) = 1) SELECT l_suppkey, arg_max(run_start, run_length * 10000000 - run_start) AS run_start, max(run_length) AS run_length FROM r GROUP BY 1", bound=False)

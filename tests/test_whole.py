@@ -1,0 +1,32 @@
+"""Queries over whole tables: what a filter, a prefix or a subset would leave out."""
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from cartolith.plans import catalogue
+
+SF = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+@needs_tables
+def test_number_match_takes_all_orders(spark):
+    got = catalogue.number_match_priority(spark, SF).select("o_orderkey", "pdf", "candidates")
+    want = duckdb.sql(f"""WITH o AS (SELECT * FROM '{SF}/orders.parquet'), k AS (SELECT o_orderkey, 0 AS pr, o_orderkey % 2000 AS key FROM o UNION ALL SELECT o_orderkey, 1, o_custkey % 2000 FROM o),
+        h AS (SELECT DISTINCT o_orderkey, pr, p_name || '.pdf' AS pdf FROM k JOIN '{SF}/part.parquet' ON p_partkey = key)
+        SELECT o.o_orderkey, arg_min(pdf, (pr, pdf)) AS pdf, count(pdf) AS candidates FROM o LEFT JOIN h USING (o_orderkey) GROUP BY 1""").fetchall()
+    assert len(want) == spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert rows(got) == sorted(want, key=str)
+
+
+def test_sections_differ_after_20_characters(spark, tmp_path):
+    turns = [(1, 0, "assistant", "hello"), (1, 1, "user", "x" * 20 + " one"), (1, 2, "assistant", "a"), (1, 3, "user", "x" * 20 + " two"), (1, 4, "assistant", "b")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [r["section"] for r in catalogue.section_forward_fill(spark, str(tmp_path)).orderBy("turn").collect()]
+    assert got == ["unclassified", turns[1][3], turns[1][3], turns[3][3], turns[3][3]]
