@@ -60,6 +60,12 @@ def centroids(vectors: DataFrame, label: str, vector_col: str) -> DataFrame:
     return mean.select(label, "dim", F.when(length == 0, F.col("m")).otherwise(F.col("m") / length).alias("value"))
 
 
+def centroid_vectors(vectors: DataFrame, label: str, vector_col: str) -> DataFrame:
+    """(label, centroid): the centroids as one row and array a label."""
+    parts = centroids(vectors, label, vector_col).groupBy(label).agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_p"))
+    return parts.select(label, F.col("_p.value").alias("centroid"))
+
+
 def fixed_projection(v: Column, dims: int, target: int = 256) -> Column:
     """Folds a vector of `dims` numbers to `target`: slices of equal width with alternating signs, summed, then normalised."""
     t = min(target, dims)
@@ -153,6 +159,19 @@ def clusters(vectors: DataFrame, id_col: str, vector_col: str, k: int | None = N
     return small.groupBy(F.lit(0).alias("_all")).applyInPandas(run, "_id long, cluster int").withColumnRenamed("_id", id_col)
 
 
+def label_clusters(vectors: DataFrame, id_col: str, label: str, vector_col: str, k: int | None = None) -> DataFrame:
+    """(id, cluster) of every vector: exact linkage over the centroids of all labels; a vector takes its label's cluster.
+
+    Labels are integers; at most EXACT_MOST of them, which is checked.
+    """
+    rows = vectors.where(F.size(vector_col) > 0)
+    few = centroid_vectors(rows, label, vector_col)
+    if few.limit(EXACT_MOST + 1).count() > EXACT_MOST:
+        raise ValueError(f"exact linkage is for at most {EXACT_MOST} labels")
+    found = clusters(few, label, "centroid", k).withColumnRenamed(label, "_label")
+    return rows.join(F.broadcast(found), F.col(label).eqNullSafe(F.col("_label"))).select(id_col, "cluster")
+
+
 def clusters_distributed(vectors: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
     """k-means by cosine on all executors: for any number of vectors, with other assignments than the loop above."""
     from pyspark.ml.clustering import KMeans

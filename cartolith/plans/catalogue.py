@@ -361,7 +361,7 @@ def fixed_projection(spark, d):
 
 @query()
 def agglomerative_clusters(spark, d):
-    return vectors.clusters(read(spark, d, "embeddings").where("vec_id < 120"), "vec_id", "embedding")
+    return vectors.label_clusters(read(spark, d, "embeddings"), "vec_id", "label", "embedding")
 
 
 @query()

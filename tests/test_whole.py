@@ -3,8 +3,10 @@
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
+from cartolith.operators import vectors
 from cartolith.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +32,38 @@ def test_sections_differ_after_20_characters(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = [r["section"] for r in catalogue.section_forward_fill(spark, str(tmp_path)).orderBy("turn").collect()]
     assert got == ["unclassified", turns[1][3], turns[1][3], turns[3][3], turns[3][3]]
+
+
+def linkage(u, k):
+    """Average linkage by the definition: mean distance over all pairs of members, searched anew for each merge."""
+    groups = [[i] for i in range(len(u))]
+    while len(groups) > k:
+        mean = {(a, b): np.mean([1 - u[p] @ u[q] for p in groups[a] for q in groups[b]]) for a in range(len(groups)) for b in range(a)}
+        a, b = min(mean, key=mean.get)
+        groups[b] += groups.pop(a)
+    return {frozenset(g) for g in groups}
+
+
+def test_linkage_matches_brute_force():
+    x = np.random.default_rng(4).normal(size=(60, 8))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for k in (None, 3, 25):
+        found = vectors.agglomerate([f"{i:02}" for i in range(60)], x, k)
+        got = {frozenset(int(i) for i, c in found.items() if c == cluster) for cluster in found.values()}
+        assert got == linkage(u, vectors.cluster_count(60, k))
+
+
+@needs_tables
+def test_agglomerative_clusters_hold_every_vector(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+    got = dict(map(tuple, catalogue.agglomerative_clusters(spark, SF).collect()))
+    assert sorted(got) == sorted(rows["vec_id"])
+    x = np.stack(rows["embedding"].to_numpy()).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    names = sorted(set(rows["label"]))
+    mean = np.stack([x[rows["label"] == n].mean(0) for n in names])
+    want = linkage(mean / np.linalg.norm(mean, axis=1, keepdims=True), vectors.cluster_count(len(names)))
+    by = {}
+    for v, label in zip(rows["vec_id"], rows["label"]):
+        by.setdefault(got[v], set()).add(names.index(label))
+    assert {frozenset(m) for m in by.values()} == want
