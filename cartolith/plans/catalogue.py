@@ -293,6 +293,11 @@ def ngram_jaccard(spark, d):
     return rows.join(nxt, "item_id").select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"), F.bround(evidence.jaccard(F.col("g"), F.col("h")), 6).alias("jaccard"))
 
 
+@query()
+def near_duplicate_pairs(spark, d):
+    return evidence.near_duplicate_pairs(read(spark, d, "documents"), "doc_id", "text").withColumn("jaccard", F.bround("jaccard", 6))
+
+
 def _paragraphs(spark, d):
     """Documents as paragraph rows: the source picks the section, words of the text its roles."""
     docs = read(spark, d, "documents")
@@ -326,8 +331,8 @@ def evidence_pack(spark, d):
 
 @query("SELECT a.label AS a, b.label AS b, round(1 - list_cosine_similarity(a.v, b.v), 6) AS distance FROM (SELECT label, embedding::DOUBLE[] AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) a JOIN (SELECT label, embedding::DOUBLE[] AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) b ON a.label < b.label", bound=False)
 def cosine_pairs(spark, d):
-    few = lifecycle.latest(read(spark, d, "embeddings"), ["label"], [F.col("vec_id")])
-    return vectors.cosine_pairs(few, "label", "embedding").withColumn("distance", F.round("distance", 6))
+    few = vectors.centroid_vectors(read(spark, d, "embeddings"), "label", "embedding")
+    return vectors.cosine_pairs(few, "label", "centroid").withColumn("distance", F.round("distance", 6))
 
 
 @query("SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS distance FROM embeddings", bound=False)

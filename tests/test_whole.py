@@ -1,11 +1,13 @@
 """Queries over whole tables: what a filter, a prefix or a subset would leave out."""
 
+import random
 from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 
+from cartolith.functions import text as T
 from cartolith.operators import vectors
 from cartolith.plans import catalogue
 
@@ -67,3 +69,37 @@ def test_agglomerative_clusters_hold_every_vector(spark):
     for v, label in zip(rows["vec_id"], rows["label"]):
         by.setdefault(got[v], set()).add(names.index(label))
     assert {frozenset(m) for m in by.values()} == want
+
+
+def test_near_duplicate_pairs_match_brute_force(spark, tmp_path):
+    rng = random.Random(5)
+    texts = [None, "", "ab", "abc", "abc", "ABC."]
+    for n in (3, 8, 20, 60, 150):
+        for _ in range(12):
+            words = ["".join(rng.choice("aeiounrst") for _ in range(4)) for _ in range(n)]
+            texts.append(" ".join(words))
+            for _ in range(3):
+                words = [w if rng.random() > 0.04 else "q" + w for w in words]
+                texts.append(" ".join(words))
+    ids = rng.sample(range(10_000), len(texts))
+    spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    grams, want = [T.ngrams(t or "", 3) for t in texts], {}
+    for i in range(len(texts)):
+        for j in range(i):
+            if grams[i] and len(grams[i] & grams[j]) >= 0.82 * len(grams[i] | grams[j]):
+                want[min(ids[i], ids[j]), max(ids[i], ids[j])] = len(grams[i] & grams[j]) / len(grams[i] | grams[j])
+    got = catalogue.near_duplicate_pairs(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) > 50 and {(r["a"], r["b"]): r["jaccard"] for r in got} == pytest.approx(want, abs=1e-6)
+
+
+@needs_tables
+def test_cosine_pairs_read_every_vector(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+    x = np.stack(rows["embedding"].to_numpy()).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    mean = {n: x[rows["label"] == n].mean(0) for n in set(rows["label"])}
+    got = catalogue.cosine_pairs(spark, SF).collect()
+    assert len(got) == len(mean) * (len(mean) - 1) // 2
+    for r in got:
+        a, b = mean[r["a"]], mean[r["b"]]
+        assert abs(r["distance"] - (1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b))) < 2e-6
