@@ -22,6 +22,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CONTAINERS = frozenset("article main section div td body".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 SIDE_NAMES = frozenset("ad ads adv advert adverts advertisement adbox banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead comment comments disqus replies respond cookie cookies consent gdpr notice popup modal newsletter subscribe signup share sharing social related recommended toolbar pagination pager widget copyright login".split())
+#: Of these, names that stand for what others wrote or for other pages, which come as articles too.
+FIRM_NAMES = frozenset("ad ads advert adverts advertisement sponsored promo comment comments disqus replies respond related recommended".split())
 #: A <p> is closed by these, as browsers do, and an item by its like.
 CLOSES_P = BLOCKS - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -32,10 +34,10 @@ SIGMA = 1.0
 
 
 class Line:
-    __slots__ = ("text", "tags", "links", "path", "heading", "side")
+    __slots__ = ("text", "tags", "links", "path", "heading", "side", "soft")
 
-    def __init__(self, text: str, tags: int, links: int, path: tuple, heading: bool, side: bool):
-        self.text, self.tags, self.links, self.path, self.heading, self.side = text, tags, links, path, heading, side
+    def __init__(self, text: str, tags: int, links: int, path: tuple, heading: bool, side: bool, soft: tuple = ()):
+        self.text, self.tags, self.links, self.path, self.heading, self.side, self.soft = text, tags, links, path, heading, side, soft
 
     @property
     def ratio(self) -> float:
@@ -48,16 +50,19 @@ class Events(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, number, hidden, side
+        self.stack: list[tuple[str, int, bool, bool, tuple]] = []  # tag, number, hidden, side, soft: forms and named elements around
+        self.holders: set[int] = set()  # soft ones that hold an article or main
+        self.firm: set[int] = set()  # soft ones of a firm name
         self.count = self.tags = self.links = self.anchors = 0
         self.words: list[str] = []
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.words)).strip()
         if text:
-            path = tuple((t, n) for t, n, _, _ in self.stack if t in CONTAINERS)
-            heading = any(t in HEADINGS for t, _, _, _ in self.stack)
-            self.lines.append(Line(text, self.tags, self.links, path, heading, bool(self.stack) and self.stack[-1][3]))
+            path = tuple((t, n) for t, n, *_ in self.stack if t in CONTAINERS)
+            heading = any(t in HEADINGS for t, *_ in self.stack)
+            side, soft = self.stack[-1][3:] if self.stack else (False, ())
+            self.lines.append(Line(text, self.tags, self.links, path, heading, side, soft))
             self.tags = 0
         self.words, self.links = [], 0
 
@@ -78,17 +83,27 @@ class Events(HTMLParser):
             self.words.append(" ")
         if tag in VOID:
             return
-        _, _, hidden, side = self.stack[-1] if self.stack else ("", 0, False, False)
+        _, _, hidden, side, soft = self.stack[-1] if self.stack else ("", 0, False, False, ())
         got = dict(attrs)
         hidden = hidden or tag in HIDDEN or "hidden" in got or (got.get("aria-hidden") or "").lower() == "true" or "display:none" in (got.get("style") or "").replace(" ", "").lower()
-        if not side and tag not in ("html", "body"):
+        if tag == "main" or tag == "article" and not any(t in ("aside", "footer", "dialog", "menu", "search") for t, *_ in self.stack):
+            # what is around it is no side of the page, unless an article may be a comment or a teaser
+            kept = () if tag == "main" else tuple(n for n in soft if n in self.firm)
+            self.holders.update(n for n in soft if n not in kept)
+            side, soft = False, kept
+        if not side and tag not in ("html", "body", "article", "main"):
             # an article's own header holds its headline
-            own = tag == "header" and any(t in ("article", "main") for t, *_ in self.stack)
-            named = {x for key in ("class", "id") for x in NAMES.findall((got.get(key) or "").lower())} & SIDE_NAMES
-            side = tag in SIDE and not own or (got.get("role") or "").lower() in SIDE_ROLES or bool(named) and tag not in ("article", "main") and not own
+            inside = any(t in ("article", "main") for t, *_ in self.stack)
+            own = tag == "header" and inside
+            named = {x for key in ("class", "id") for x in NAMES.findall((got.get(key) or "").lower())} & (SIDE_NAMES - {"header"} if inside else SIDE_NAMES)
+            side = tag in SIDE and tag != "form" and not own or (got.get("role") or "").lower() in SIDE_ROLES - {"form"}
+            if not side and (tag == "form" or (got.get("role") or "").lower() == "form" or bool(named) and not own):
+                soft = (*soft, self.count + 1)
+                if named & FIRM_NAMES:
+                    self.firm.add(self.count + 1)
         self.count += 1
         self.anchors += tag == "a"
-        self.stack.append((tag, self.count, hidden, side))
+        self.stack.append((tag, self.count, hidden, side, soft))
 
     def _close(self, tags: set, stop: set) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -138,16 +153,27 @@ def threshold(values: list[float]) -> float:
 def main_text(html: str) -> str:
     """The page's main text: blocks in page order, joined by a line feed.
 
-    Lines in side elements take no part. Lines whose smoothed ratio reaches the threshold are content; the
-    region is the smallest article or main element that holds the most of their characters, else the
-    smallest container that holds nine tenths of them. All of the region's lines are returned, the short ones
-    too, as they belong to it. A page without text gives an empty string.
+    Lines in side elements take no part. A form, or an element that only its class or id names a side, is none if it
+    holds an article or main (one of a comment's, ad's or teaser's name: a main) or, on a page without them, half of the
+    characters outside of sides (nine tenths). Lines whose smoothed ratio reaches
+    the threshold are content; the region is the article or main elements that hold content, if together they hold half
+    of its characters (the smallest around the most of them, and its siblings), else the smallest container that holds
+    nine tenths of them. All of the region's lines are returned, the short ones too, as they belong to it. A page without
+    text gives an empty string.
     """
     events = Events()
     events.feed(html)
     events.close()
     events.flush()
     lines = [x for x in events.lines if not x.side]
+    size: dict[int, int] = {}
+    for x in lines:
+        for n in x.soft:
+            size[n] = size.get(n, 0) + len(x.text)
+    total = sum(len(x.text) for x in lines)
+    marked = any(t in ("article", "main") for x in lines if events.holders.issuperset(x.soft) for t, _ in x.path)
+    open_ = events.holders | {n for n in size if not marked and size[n] * 10 > total * (9 if n in events.firm else 5)}
+    lines = [x for x in lines if open_.issuperset(x.soft)]
     if not lines:
         return ""
     even = smooth([x.ratio for x in lines])
@@ -161,10 +187,12 @@ def main_text(html: str) -> str:
             depth[node] = d
     total = sum(len(x.text) for x in content)
     named = [n for n in chars if n[0] in ("article", "main")]
-    # siblings: several articles make one region, if none of them holds most of the text
     best = max(named, key=lambda n: (chars[n], depth[n]), default=None)
-    if best is not None and chars[best] * 2 >= total:
-        region = [x for x in lines if best in x.path]
+    # siblings: all articles that hold content lines and neither hold the best one nor are inside it
+    around = {n for x in content if best in x.path for n in x.path}
+    siblings = {best, *(n for n in named if n not in around)}
+    if best is not None and 2 * sum(len(x.text) for x in content if not siblings.isdisjoint(x.path)) >= total:
+        region = [x for x in lines if not siblings.isdisjoint(x.path)]
     else:
         full = [n for n in chars if chars[n] * 10 >= 9 * total]
         inner = max(full, key=lambda n: depth[n], default=None)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from cartolith.functions import text as T
+from cartolith.llm import html_text
 from cartolith.operators import vectors
 from cartolith.plans import catalogue
 
@@ -103,3 +104,25 @@ def test_cosine_pairs_read_every_vector(spark):
     for r in got:
         a, b = mean[r["a"]], mean[r["b"]]
         assert abs(r["distance"] - (1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b))) < 2e-6
+
+
+def test_html_wrappers_do_not_hide_the_article():
+    say = lambda n, w: "<p>" + f"The {w} was told in many words by those who had seen it. " * n + "</p>"
+    body = f"<nav><a href=/>Home</a></nav><article><div class='post-header'><h1>Head line</h1></div>{say(6, 'story')}<div class='ad'>Buy</div></article><footer>End</footer>"
+    want = html_text.main_text(f"<body>{body}</body>")
+    assert want.startswith("Head line\nThe story") and "Buy" not in want and "Home" not in want
+    for wrap in ("<div class='layout has-sidebar'>{}</div>", "<div id='page' class='with-nav'>{}</div>", "<form action=/>{}</form>", "<div class='no-comments'><form>{}</form></div>"):
+        assert html_text.main_text("<body>" + wrap.format(body) + "</body>") == want, wrap
+    plain = html_text.main_text(f"<body><div class='has-sidebar'><div>{say(8, 'tale')}</div></div><div class='sidebar'>Side words</div></body>")
+    assert plain.startswith("The tale") and "Side" not in plain
+    notes = f"<div id='comments'><article>{say(9, 'reply')}</article></div>"
+    assert html_text.main_text(f"<body>{body}{notes}</body>") == want
+    assert html_text.main_text(f"<body><form>{body}{notes}</form></body>") == want
+    main = html_text.main_text(f"<body><div class='related-layout'><main>{say(6, 'story')}</main></div></body>")
+    assert main.startswith("The story")
+
+
+def test_html_keeps_sibling_articles():
+    one, two = (" ".join(f"{w}{i} is a word of this text" for i in range(n)) for w, n in (("a", 60), ("b", 40)))
+    got = html_text.main_text(f"<body><div><article><p>{one}</p></article><article><p>{two}</p></article></div><footer>End</footer></body>")
+    assert got == f"{one}\n{two}"
