@@ -134,7 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learns odds on folds 1 to 4 of 5, and the calibration on fold 4 with odds of folds 1 to 3; fold 0 is held out.
 
     Without labels of both kinds the model is empty and scores every text alike. What reaches the driver is
-    bounded by the sample: counts of keys in at least LEAST_TEXTS texts with odds, and two numbers a text.
+    bounded by the sample: counts of keys in at least LEAST_TEXTS texts with odds, two numbers a text in each of two
+    passes over all its segments, and a count for each tenth of a token's score.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,22 +166,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return model
     first = Model(shrink({r["k"]: (r["y1"], r["y0"]) for r in got if r["y1"] + r["y0"]}, toxic, clean))
 
+    def scored(texts: list[str], memo: dict[str, float]) -> Iterator[tuple[list[float], list[float]]]:
+        """Scores of each text's words, and of all its segments."""
+        for text in texts:
+            scores = [memo[w] if w in memo else memo.setdefault(w, first.token(w)) for w in WORD.findall(text.lower())]
+            yield scores, [s for _, _, s in segments(scores)] if scores and max(scores) > 0 else []
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = WORD.findall(text.lower())
-                scores = [memo[w] if w in memo else memo.setdefault(w, first.token(w)) for w in words]
+            out: list[list] = [batch.column(1).to_pylist(), [], [], []]
+            for y, (scores, found) in zip(out[0], scored(batch.column(0).to_pylist(), memo)):
                 hist = Counter(round(s, 1) for s in scores) if not y else {}
-                found = segments(scores) if scores and max(scores) > 0 else []
-                out[0].append(y)
-                out[1].append(max(1, len(words)))
-                out[2].append([s for _, _, s in found][:200] if found else [])
+                out[1].append(max(1, len(scores)))
+                out[2].append(max(found, default=0.0))
                 out[3].append([float(v) for kv in hist.items() for v in kv])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.float64())), pa.array(out[3], pa.list_(pa.float64()))], ["y", "n", "s", "hist"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.list_(pa.float64()))], ["y", "n", "best", "hist"])
 
-    got = rows.where("_cal").select("_text", "_y").mapInArrow(measure, "y int, n long, s array<double>, hist array<double>").collect()
+    held = cut(rows.where("_cal").select("_text", "_y"), "calibration")
+    got = held.mapInArrow(measure, "y int, n long, best double, hist array<double>").collect()
     if len({r["y"] for r in got}) < 2:
         return model
     hist: Counter = Counter()
@@ -190,13 +194,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rate = _rate(hist)
     clean_rows = [r for r in got if not r["y"]]
     # the mean of a Gumbel variable is its location plus Euler's constant
-    log_k = float(np.mean([rate * max(r["s"], default=0.0) - math.log(r["n"]) for r in clean_rows])) - 0.5772156649015329
-    t = []
-    for r in got:
-        chance = log_k + math.log(r["n"])
-        good = [rate * s - chance for s in r["s"] if rate * s - chance >= -math.log(SIGNIFICANT)]
-        t.append(sum(good) if good else rate * max(r["s"], default=0.0) - chance)
-    slope, shift = _logistic(np.array(t), np.array([r["y"] for r in got], dtype=float))
+    log_k = float(np.mean([rate * r["best"] - math.log(r["n"]) for r in clean_rows])) - 0.5772156649015329
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, float] = {}
+        for batch in batches:
+            t = []
+            for scores, found in scored(batch.column(0).to_pylist(), memo):
+                chance = log_k + math.log(max(1, len(scores)))
+                good = [rate * s - chance for s in found if rate * s - chance >= -math.log(SIGNIFICANT)]
+                t.append(sum(good) if good else rate * max(found, default=0.0) - chance)
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(t, pa.float64())], ["y", "t"])
+
+    got = held.mapInArrow(judge, "y int, t double").collect()
+    slope, shift = _logistic(np.array([r["t"] for r in got]), np.array([r["y"] for r in got], dtype=float))
     return Model(model.odds, rate, log_k, slope, shift)
 
 

@@ -1,6 +1,7 @@
 """Queries over whole tables: what a filter, a prefix or a subset would leave out."""
 
 import random
+import zlib
 from pathlib import Path
 
 import duckdb
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 
 from cartolith.functions import text as T
-from cartolith.llm import html_text
+from cartolith.llm import html_text, toxicity
 from cartolith.operators import vectors
 from cartolith.plans import catalogue
 
@@ -126,3 +127,20 @@ def test_html_keeps_sibling_articles():
     one, two = (" ".join(f"{w}{i} is a word of this text" for i in range(n)) for w, n in (("a", 60), ("b", 40)))
     got = html_text.main_text(f"<body><div><article><p>{one}</p></article><article><p>{two}</p></article></div><footer>End</footer></body>")
     assert got == f"{one}\n{two}"
+
+
+def test_toxicity_is_fitted_on_all_segments_of_a_text(spark, monkeypatch):
+    rng = random.Random(6)
+    plain = lambda n: [rng.choice("aeiou") + rng.choice("klmn") + rng.choice("stvw") for _ in range(n)]
+    docs = [(i, " ".join(plain(60) + ["foul"] * (1 if bad else 0)), int(bad)) for i in range(300) for bad in [i % 3 == 0 and zlib.crc32(str(i).encode()) % 5 != 4]]
+    many, run = [w for _ in range(250) for w in ["foul", *plain(9)]], ["foul"] * 60
+    late, early = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 == 4][:2]
+    docs += [(late, " ".join(many + plain(300) + run), 1), (early, " ".join(run + plain(300) + many), 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    seen = {}
+    plot = toxicity._logistic
+    monkeypatch.setattr(toxicity, "_logistic", lambda t, y: seen.update(t=t[y > 0]) or plot(t, y))
+    toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert len(seen["t"]) == 2 and seen["t"].min() > 0
+    # the long passage counts as much at the end as at the start
+    assert seen["t"][0] == pytest.approx(seen["t"][1], rel=0.05)
