@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from cartolith.functions import text as T
-from cartolith.llm import html_text, toxicity
+from cartolith.llm import html_text, neighbours, toxicity
 from cartolith.operators import vectors
 from cartolith.plans import catalogue
 
@@ -144,3 +144,17 @@ def test_toxicity_is_fitted_on_all_segments_of_a_text(spark, monkeypatch):
     assert len(seen["t"]) == 2 and seen["t"].min() > 0
     # the long passage counts as much at the end as at the start
     assert seen["t"][0] == pytest.approx(seen["t"][1], rel=0.05)
+
+
+def test_neighbours_recall_in_one_large_block(spark):
+    x = np.random.default_rng(0).normal(size=(8000, 64)).astype(np.float32)
+    assert neighbours.RERANK_SHARE * len(x) > 4 * neighbours.RERANK_LEAST and len(x) <= neighbours.BLOCK_ROWS
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)
+    got = neighbours.nearest_rows(df, df.where("vec_id % 100 = 0")).toPandas()
+    hit = 0
+    for q, part in got.groupby("query_id"):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d, kind="stable")[:10]) & set(part["vec_id"])) / 10
+    print("recall", hit / 80)
+    assert got["query_id"].nunique() == 80 and hit / 80 >= 0.95
