@@ -236,7 +236,7 @@ def csv_diff(spark, d):
     return lifecycle.list_diff(o.where("o_orderkey % 4 <> 0"), o.where("o_orderkey % 3 <> 0"), "o_orderkey")
 
 
-@query("WITH k AS (SELECT o_orderkey, 0 AS pr, o_orderkey % 2000 AS key FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey, 1, o_custkey % 2000 FROM orders WHERE o_orderkey % 10 = 0), h AS (SELECT DISTINCT o_orderkey, pr, p_name || '.pdf' AS pdf FROM k JOIN part ON p_partkey = key) SELECT o_orderkey, h.pdf, n AS candidates FROM (SELECT DISTINCT o_orderkey FROM k) LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY pr, pdf) AS r, count(*) OVER (PARTITION BY o_orderkey) AS n FROM h) h USING (o_orderkey) WHERE r = 1", bound=False)
+@query("WITH k AS (SELECT o_orderkey, 0 AS pr, o_orderkey % 2000 AS key FROM orders UNION ALL SELECT o_orderkey, 1, o_custkey % 2000 FROM orders), h AS (SELECT DISTINCT o_orderkey, pr, p_name || '.pdf' AS pdf FROM k JOIN part ON p_partkey = key) SELECT o_orderkey, b.pdf, coalesce(n, 0) AS candidates FROM orders LEFT JOIN (SELECT o_orderkey, arg_min(pdf, {'pr': pr, 'pdf': pdf}) AS pdf, count(*) AS n FROM h GROUP BY 1) b USING (o_orderkey)", bound=False)
 def number_match_priority(spark, d):
     o = read(spark, d, "orders")
     keys = F.array(*[F.struct(F.lit(i).alias("priority"), (F.col(c) % 2000).alias("key")) for i, c in enumerate(("o_orderkey", "o_custkey"))])
@@ -260,7 +260,7 @@ def repeated_lines(spark, d):
     return structure.repeated_page_lines(lines.select("doc_id", F.floor(F.col("i") / 4).alias("page"), structure.ascii_key(F.col("line")).alias("key")))
 
 
-@query("SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN substr(text, 1, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 'unclassified') AS section FROM conversations", bound=False)
+@query("SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 'unclassified') AS section FROM conversations", bound=False)
 def section_forward_fill(spark, d):
     rows = read(spark, d, "conversations")
     return structure.forward_fill(rows, ["conv_id"], ["turn"], F.when(F.col("role") == "user", F.col("text")), "unclassified", "section").select("conv_id", "turn", "section")
@@ -329,7 +329,10 @@ def evidence_pack(spark, d):
     return packs.select("doc_id", "task", "maximum", F.length("rendered_text").alias("characters"), F.size("sources").alias("sources"), "candidates", "near_duplicates")
 
 
-@query("SELECT a.label AS a, b.label AS b, round(1 - list_cosine_similarity(a.v, b.v), 6) AS distance FROM (SELECT label, embedding::DOUBLE[] AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) a JOIN (SELECT label, embedding::DOUBLE[] AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) b ON a.label < b.label", bound=False)
+CENTROID = "u AS (SELECT label, unnest(embedding::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS x, unnest(range(len(embedding)))::INTEGER AS dim FROM embeddings), m AS (SELECT label, dim, avg(x) AS m FROM u GROUP BY 1, 2), c AS (SELECT label, dim, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS value FROM m)"
+
+
+@query(f"WITH {CENTROID} SELECT a.label AS a, b.label AS b, round(1 - sum(a.value * b.value), 6) AS distance FROM c a JOIN c b ON a.dim = b.dim AND a.label < b.label GROUP BY 1, 2", bound=False)
 def cosine_pairs(spark, d):
     few = vectors.centroid_vectors(read(spark, d, "embeddings"), "label", "embedding")
     return vectors.cosine_pairs(few, "label", "centroid").withColumn("distance", F.round("distance", 6))
@@ -342,9 +345,6 @@ def cosine_to_reference(spark, d):
     return rows.crossJoin(F.broadcast(reference)).select("vec_id", F.round(vectors.cosine_distance(F.col("embedding"), F.col("_r")), 6).alias("distance"))
 
 
-CENTROID = "u AS (SELECT label, unnest(embedding::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS x, unnest(range(len(embedding)))::INTEGER AS dim FROM embeddings), m AS (SELECT label, dim, avg(x) AS m FROM u GROUP BY 1, 2), c AS (SELECT label, dim, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS value FROM m)"
-
-
 @query(f"WITH {CENTROID} SELECT label, dim, round(value, 6) AS value FROM c", bound=False)
 def cluster_centroids(spark, d):
     return vectors.centroids(read(spark, d, "embeddings"), "label", "embedding").withColumn("value", F.round("value", 6))
