@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut  # noqa: F401  for the operators
+from ..sources.shared import Scratch, cut  # noqa: F401  for the operators
 
 #: ASCII white space, as a character class of Java's and DuckDB's patterns and as characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -65,10 +65,13 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node long, component long) of the undirected links (a long, b long); a component is its smallest node.
 
     Alternates large-star and small-star steps, which need a number of rounds that grows with the logarithm
-    of the number of nodes. Each round is written to the shared folder. Nodes without a link do not appear.
+    of the number of nodes. A round is written to the shared folder, and the one before it is deleted. Nodes
+    without a link do not appear. Links that do not settle in `rounds` rounds are an error, never a wrong answer.
     """
+    spark = links.sparkSession
     both = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    edges = cut(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    kept = Scratch(spark, "links")
+    edges = kept.cut(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
     for _ in range(rounds):
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -82,7 +85,9 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: u's smaller neighbours and u itself go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = cut(small.where("u <> v").distinct(), "links")
+        last, kept = kept, Scratch(spark, "links")
+        edges = kept.cut(small.where("u <> v").distinct(), "links")
+        last.clear()
     else:
         raise RuntimeError("components did not settle")
     # the edges are now stars: u's only smaller neighbour is its component

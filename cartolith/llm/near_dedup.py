@@ -17,19 +17,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, give_back
+from .common import Scratch, connected_components, cut, give_back
 
 WORD = re.compile(r"\w+")
 K = 5
 SIMILARITY = 0.8
 #: Sketches a text and k-mers a sketch. At a similarity of 0.8 a sketch of 3 is shared with probability 0.51,
-#: so of 14 at least one is in all but one case of 20,000.
+#: so of 14 at least one is in all but one case of 20,000 (of long texts; short ones are joined exactly).
 SKETCHES, ELL = 14, 3
 #: Bins of the estimate by which candidates are chosen for the alignment, and by how many standard deviations
 #: the estimate may fall short: less than one pair of 4,000 at the threshold is lost.
 BINS, DEVIATIONS = 128, 3.5
-#: Texts that are aligned with one text in a task.
-ALIGNED = 200
+#: K-mers of the texts that are aligned with one text in a task.
+ALIGNED = 200_000
+#: Texts of at most so many k-mers are joined exactly, as a few k-mers make few sketches that differ.
+SHORT = 40
+#: Turns in which components that meet at a k-mer are compared by one text of each, before the exact join of what is left.
+TURNS = 3
+#: K-mers before a posted one that tell whether two texts have met before.
+BEFORE = 32
 
 _MIX = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF for i in range(64)], dtype=np.uint64)
 
@@ -140,29 +146,28 @@ def alignment(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(id, key, n, sk, bins) of every row: a digest of its words, the number of k-mers, the sketches and the bins."""
+    """(id, th, key, n, sk, bins) of every row of (id, text, th): a digest of its words, the number of k-mers, the sketches and the bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         words = Words()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for at in range(0, len(ids), 512):
-                part = batch.column(1).slice(at, 512).to_pylist()
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 key, n, sk, low = [], [], [], []
-                for text in part:
+                for text in part.column(1).to_pylist():
                     w = words(text or "")
                     grams = kmers(w)
                     key.append(xxhash.xxh3_128_digest(w.tobytes()))
                     n.append(len(grams))
                     sk.append(sketch(grams) if len(grams) else np.empty(0, np.int64))
                     low.append(bins(grams).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 512], pa.int64()), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(sk, pa.list_(pa.int64())), pa.array(low, pa.binary())], ["id", "key", "n", "sk", "bins"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(sk, pa.list_(pa.int64())), pa.array(low, pa.binary())], ["id", "th", "key", "n", "sk", "bins"])
         del words
         give_back()
 
-    return docs.mapInArrow(run, "id long, key binary, n long, sk array<long>, bins binary")
+    return docs.mapInArrow(run, "id long, th long, key binary, n long, sk array<long>, bins binary")
 
 
 def _table(blobs) -> np.ndarray:
@@ -176,14 +181,16 @@ def _close(a: str, b: str) -> Column:
     return F.pandas_udf(run, "boolean")(F.col(a), F.col(b))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the alignment confirms. A text that many others are to be aligned with is sent to
-    several tasks, with ALIGNED others each."""
-    load = pairs.groupBy("a").agg(F.ceil(F.count("*") / ALIGNED).alias("_parts"))
-    dealt = cut(pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_parts")).alias("part")), "pairs")
-    left = dealt.join(docs.select(F.col("id").alias("b"), F.col("text").alias("other")), "b").select("a", "part", "b", "other")
-    own = dealt.select("a", "part").distinct().join(docs.select(F.col("id").alias("a"), "text"), "a")
-    right = own.groupBy(F.col("a").alias("c"), F.col("part").alias("d")).agg(F.first("text").alias("text"))
+def _verify(pairs: DataFrame, source: DataFrame, kept: Scratch) -> DataFrame:
+    """The pairs (a, b) of (a, b, nb) that the alignment confirms; source is (node, text).
+
+    A text that many others are to be aligned with is sent to several tasks, with about ALIGNED k-mers of others each.
+    """
+    load = pairs.groupBy("a").agg(F.ceil(F.sum("nb") / ALIGNED).alias("_parts"))
+    dealt = kept.cut(pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.greatest("_parts", F.lit(1))).alias("part")), "pairs")
+    left = dealt.join(source.select(F.col("node").alias("b"), F.col("text").alias("other")), "b").select("a", "part", "b", "other")
+    own = dealt.select("a", "part").distinct().join(source.select(F.col("node").alias("a"), "text"), "a")
+    right = own.select(F.col("a").alias("c"), F.col("part").alias("d"), "text")
 
     def run(key, others, own):
         words = Words()
@@ -194,14 +201,14 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return left.groupBy("a", "part").cogroup(right.groupBy("c", "d")).applyInPandas(run, "a long, b long")
 
 
-def _prefixes(texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """(g, id, n, alone, place, short): the k-mers by which texts (id, n) are joined so that no pair is left out.
+def _prefixes(texts: DataFrame, source: DataFrame, kept: Scratch) -> DataFrame:
+    """(g, node, n, alone, place, short, before): the k-mers by which texts (node, n) are joined so that no pair is left out.
 
     Two sets of n <= m k-mers with a similarity of t have c = t / (1 + t) * (n + m) in common at least. So with k-mers
     in one order for all, rare ones first, they have one in common at a `place` of at most n - c + 1 in the smaller and
     m - c + 1 in the larger; at most n - 2 t / (1 + t) * n + 1 (`short`) and m - t * m + 1 whatever the other's size.
     K-mers of one text alone come first and are only counted (`alone`), so a text with too many changes of its own
-    has nothing left to post, however large its group.
+    has nothing left to post, however large its group. `before` holds the posted k-mers just before this one.
     """
     small = lambda n: n - F.ceil(n * (2 * SIMILARITY / (1 + SIMILARITY)) - 1e-9) + 1
     large = lambda n: n - F.ceil(n * SIMILARITY - 1e-9) + 1
@@ -209,92 +216,156 @@ def _prefixes(texts: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for at in range(0, len(ids), 512):
-                grams = [kmers(words(t or "")).view(np.int64) for t in batch.column(1).slice(at, 512).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 512], pa.int64()), pa.array(grams, pa.list_(pa.int64()))], ["id", "grams"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                grams = [kmers(words(t or "")).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(grams, pa.list_(pa.int64()))], ["node", "grams"])
         del words
         give_back()
 
-    whole = docs.join(texts.select("id"), "id").groupBy("id").agg(F.first("text").alias("text"))
-    posts = cut(whole.mapInArrow(run, "id long, grams array<long>"), "grams").select("id", F.explode("grams").alias("g"))
+    whole = source.join(texts.select("node"), "node", "left_semi").select("node", "text")
+    posts = kept.cut(whole.mapInArrow(run, "node long, grams array<long>"), "grams").select("node", F.explode("grams").alias("g"))
     shared = posts.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
-    order = Window.partitionBy("id").orderBy("c", "g")
-    ranked = posts.join(shared, "g").select("id", "g", F.row_number().over(order).alias("at"), F.count("*").over(Window.partitionBy("id")).alias("held"))
+    order = Window.partitionBy("node").orderBy("c", "g")
+    ranked = posts.join(shared, "g").select("node", "g", F.row_number().over(order).alias("at"), F.count("*").over(Window.partitionBy("node")).alias("held"))
     alone = F.col("n") - F.col("held")
-    first = ranked.join(texts, "id").withColumn("alone", alone).where(F.col("at") + F.col("alone") <= large(F.col("n")))
     place = F.col("at") + F.col("alone")
-    return cut(first.select("g", "id", "n", "alone", place.alias("place"), (place <= small(F.col("n"))).alias("short")), "prefixes")
+    first = ranked.join(texts, "node").withColumn("alone", alone).withColumn("place", place).where(F.col("place") <= large(F.col("n")))
+    before = F.collect_list("g").over(Window.partitionBy("node").orderBy("place").rowsBetween(-BEFORE, -1))
+    return kept.cut(first.select("g", "node", "n", "alone", "place", (F.col("place") <= small(F.col("n"))).alias("short"), before.alias("before")), "prefixes")
+
+
+def _hubs(prefixes: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of texts of different components with a k-mer in common, at most one for a post.
+
+    Each component sends one text, another for each k-mer and turn, which meets that of the k-mer's first component.
+    """
+    each = F.min(F.struct(F.xxhash64("node", "g", F.lit(turn)), "node", "n", "place"))
+    first = prefixes.select("g", "node", "n", "place").join(comps, "node").groupBy("g", "comp").agg(each.alias("m")).select("g", "comp", "m.node", "m.n", "m.place")
+    hub = first.groupBy("g").agg(F.min(F.struct("comp", "node", "n", "place")).alias("m")).select("g", "m.comp", "m.node", "m.n", "m.place").toDF("g", "hcomp", "hnode", "hn", "hplace")
+    common = f"ceil({SIMILARITY / (1 + SIMILARITY)!r} * (n + hn) - 1e-9)"
+    met = first.join(hub, "g").where(f"comp <> hcomp and least(n, hn) >= {SIMILARITY} * greatest(n, hn) - 1e-9 and least(n - place, hn - hplace) + 1 >= {common}")
+    return met.select(F.least("node", "hnode").alias("a"), F.greatest("node", "hnode").alias("b")).distinct()
 
 
 def _joined(prefixes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of different components among the prefixes.
+    """Candidate pairs (a, b, nb) of different components among the prefixes.
 
     A place rules out all smaller texts above some size; posts that no text of their k-mer can meet are left out, and
-    then k-mers of one component alone, before anything is joined.
+    then k-mers of one component alone, before anything is joined. A pair that has met at one of the last BEFORE posted
+    k-mers of both has been made there, or earlier, and is not made again: its first meeting always stands.
     """
     t = SIMILARITY / (1 + SIMILARITY)
     least = prefixes.where("short").groupBy("g").agg(F.min("n").alias("least"))
     meets = (F.col("n") + 1 - F.col("place")) / t - F.col("n") + 1e-6
-    first = prefixes.join(least, "g").where(F.col("short") | (meets >= F.col("least"))).drop("least").join(comps, "id")
+    first = prefixes.join(least, "g").where(F.col("short") | (meets >= F.col("least"))).drop("least").join(comps, "node")
     mixed = first.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("g")
     first = first.join(mixed, "g")
-    x = first.where("short").select("g", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("place").alias("px"))
-    y = first.select("g", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("place").alias("py"))
-    common = f"ceil({t!r} * (nx + ny) - 1e-9)"
-    met = x.join(y, "g").where(f"cx <> cy and nx <= ny and nx >= {SIMILARITY} * ny - 1e-9 and px <= nx - {common} + 1 and py <= ny - {common} + 1")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda s: [F.col(c).alias(f"{s}{c}") for c in ("node", "n", "comp", "place", "before")]
+    x, y = first.where("short").select("g", *side("x")), first.select("g", *side("y"))
+    common = f"ceil({t!r} * (xn + yn) - 1e-9)"
+    fits = f"xcomp <> ycomp and xn <= yn and xn >= {SIMILARITY} * yn - 1e-9 and xplace <= xn - {common} + 1 and yplace <= yn - {common} + 1"
+    met = x.join(y, "g").where(fits).where(~F.arrays_overlap("xbefore", "ybefore"))
+    low = F.col("xnode") < F.col("ynode")
+    return met.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b"), F.when(low, F.col("yn")).otherwise(F.col("xn")).alias("nb")).distinct()
+
+
+def _classified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, class_id, class_size, links, kept) of every row of df; th is a hash of the text, which with the id names the row."""
+    spark = df.sparkSession
+    kept = Scratch(spark, "near")
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
+    rows = kept.cut(_sketches(docs), "sketches")
+    best = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    texts = rows.groupBy("key").agg(F.min(F.struct(best.alias("of"), "n", "sk", "bins")).alias("m"), F.count("*").alias("copies"))
+    texts = texts.select("key", "m.of.*", "m.n", "m.sk", "m.bins", "copies")
+    # a text's node is its smallest id; where an id is missing or stands for several texts, a hash of its words
+    unsure = rows.groupBy("id").agg(F.count("*").alias("c")).where("c > 1 or id is null").limit(1).count() > 0
+    if unsure:
+        texts = kept.cut(texts, "texts")
+        again = texts.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id", F.lit(True).alias("again"))
+        own = texts.where("id is not null").join(again, "id", "left").withColumn("node", F.when(F.col("again"), F.xxhash64("key")).otherwise(F.col("id"))).drop("again")
+        texts = own.unionByName(texts.where("id is null").withColumn("node", F.xxhash64("key")))
+    else:
+        texts = texts.withColumn("node", F.col("id"))
+    texts = kept.cut(texts, "texts")
+    posted = texts.where("n > 0").select("node", F.posexplode("sk").alias("j", "h"))
+    buckets = posted.groupBy("j", "h").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
+    held = kept.cut(posted.join(buckets, ["j", "h"]), "buckets")
+    side = texts.select("node", "n", "bins")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
+        return both.where(f"least(na, nb) >= {SIMILARITY} * greatest(na, nb) - 1e-9").where(_close("sa", "sb")).select("a", "b", "nb")
+
+    def named(links: DataFrame) -> DataFrame:
+        found = connected_components(links).withColumnRenamed("node", "_node")
+        return kept.cut(texts.select("node").join(found, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("component", "node").alias("comp")), "components")
+
+    star = held.where("node <> first").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"))
+    star = kept.cut(near(star), "star")
+    short = texts.where(f"n > 0 and n <= {SHORT}").select("node")
+    wanted = star.select(F.col("a").alias("node")).union(star.select("b")).union(held.where("size > 2").select("node")).union(short).distinct()
+    which = texts.select("node", F.col("id").alias("_id"), F.col("th").alias("_th")).join(wanted, "node")
+    source = docs.join(which, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("node", "text")
+    source = kept.cut(source.dropDuplicates(["node"]) if unsure else source, "source")
+
+    linked = kept.cut(_verify(star, source, kept), "links")
+    comps = named(linked)
+    crowded = held.where("size > 2")
+    open_ = crowded.join(comps, "node").groupBy("j", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("j", "h")
+    crowded = kept.cut(crowded.join(open_, ["j", "h"]).select("j", "h", "node"), "crowded")
+    left = crowded.select("node").union(short).distinct().join(texts.select("node", "n"), "node")
+    prefixes = _prefixes(kept.cut(left, "open"), source, kept)
+    # the text of a bucket with the fewest k-mers of its own is likely what the others were made from
+    posting = crowded.join(prefixes.select("node", "alone").distinct(), "node").join(comps, "node")
+    centre = posting.groupBy("j", "h").agg(F.min(F.struct("alone", "node", "comp")).alias("m")).select("j", "h", F.col("m.node").alias("mid"), F.col("m.comp").alias("other"))
+    again = posting.join(centre, ["j", "h"]).where("comp <> other").select(F.least("mid", "node").alias("a"), F.greatest("mid", "node").alias("b")).distinct()
+    linked = kept.cut(linked.union(_verify(near(again), source, kept)), "links")
+    for turn in range(TURNS):
+        found = kept.cut(_verify(near(_hubs(prefixes, named(linked), turn)), source, kept), "links")
+        linked = kept.cut(linked.union(found), "links")
+        if not found.limit(1).count():
+            break
+    more = kept.cut(_verify(_joined(prefixes, named(linked)), source, kept), "links")
+    links = linked.union(more).distinct()
+    final = connected_components(links).withColumnRenamed("node", "_node")
+    degree = links.select(F.explode(F.array("a", "b")).alias("_of")).groupBy("_of").agg(F.count("*").cast("long").alias("links"))
+    classes = texts.select("key", "node", "copies", best.alias("of")).join(final, F.col("node") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = classes.groupBy("component").agg(F.sum("copies").cast("long").alias("class_size"), F.min("of").alias("first")).withColumnRenamed("component", "_component")
+    classes = classes.join(sizes, F.col("component") == F.col("_component")).join(degree, F.col("node") == F.col("_of"), "left")
+    classes = classes.select("key", F.col("first.id").alias("class_id"), "class_size", F.coalesce("links", F.lit(0)).cast("long").alias("links"), "first")
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
+    out = cut(rows.select("id", "th", "key").join(classes, "key").select("id", "th", "class_id", "class_size", "links", stays.alias("kept")), "near")
+    kept.clear()
+    return out
 
 
 def order_minhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, class_size, links): the near-duplicate class of every row.
+    """(id, class_id, class_size, links, kept): the near-duplicate class of every row.
 
     Texts are near-duplicates if the alignment of their 5-word k-mers reaches 0.8; classes are the connected
-    components, named by their smallest id. Rows with the same words are one text (null and empty texts are
-    all one text without words), so copies cost nothing beyond their own row; `links` counts the verified links
-    of a row's text to other texts that were needed to connect it. Ids are meant to be unique: rows that
-    repeat an id and its text share the class, and a row with a null id takes the class of its text. An empty
-    table gives an empty result.
+    components, named by their smallest id (null if none of their rows has one). Rows with the same words are one text
+    (null and empty texts are all one text without words), so copies cost nothing beyond their own row; `links` counts
+    the verified links of a row's text to other texts that were needed to connect it. `kept` marks the row of the class
+    with its smallest id, of several texts of that id the one of the smallest hash; rows that repeat an id and its text
+    are alike in all columns. Null ids come last. An empty table gives an empty result; other columns, whatever their
+    names, are ignored.
 
     Every bucket of texts with a common sketch is first compared with one of its texts, which connects
     a group of any size with as many pairs as it has texts. Buckets of three and more that then still hold several
-    components are compared with the text that has the fewest k-mers of its own, and what is left of them is
-    joined by an exact prefix filter and aligned as well.
+    components are compared with the text that has the fewest k-mers of its own. What is left of them, and all texts of at
+    most SHORT k-mers, post the rarest of their k-mers: a k-mer's components are compared with its first one, which connects
+    groups with as many pairs as posts, and only what then is in different components is joined by an exact prefix filter.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = cut(_sketches(docs), "sketches")
-    best = F.min(F.struct("id", "n", "sk", "bins"))
-    texts = cut(rows.where("id is not null").groupBy("key").agg(best.alias("m"), F.count("*").alias("copies")).select("key", "m.*", "copies"), "texts")
-    posted = texts.where("n > 0").select("id", "n", F.posexplode("sk").alias("j", "h"))
-    buckets = posted.groupBy("j", "h").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
-    held = cut(posted.join(buckets, ["j", "h"]), "buckets")
-    side = texts.select("id", "n", "bins")
-    star = held.where("id <> first").groupBy(F.col("first").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("c"))
+    return _classified(df, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "class_size", "links", "kept")
 
-    def near(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
-        return both.where(f"least(na, nb) >= {SIMILARITY} * greatest(na, nb) - 1e-9").where(_close("sa", "sb")).select("a", "b")
 
-    def named(links: DataFrame) -> DataFrame:
-        return cut(texts.select("id").join(connected_components(links), F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("comp")), "components")
+def keep_one_of_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df's rows without the near copies: of each class the rows that `order_minhash_classes` marks as kept.
 
-    linked = cut(_verify(near(star), docs), "links")
-    comps = named(linked)
-    crowded = held.where("size > 2")
-    open_ = crowded.join(comps, "id").groupBy("j", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("j", "h")
-    crowded = crowded.join(open_, ["j", "h"]).select("j", "h", "id")
-    prefixes = _prefixes(cut(crowded.select("id").distinct().join(texts.select("id", "n"), "id"), "open"), docs)
-    # the text of a bucket with the fewest k-mers of its own is likely what the others were made from
-    posting = crowded.join(prefixes.select("id", "alone").distinct(), "id").join(comps, "id")
-    centre = posting.groupBy("j", "h").agg(F.min(F.struct("alone", "id", "comp")).alias("m")).select("j", "h", F.col("m.id").alias("mid"), F.col("m.comp").alias("other"))
-    again = posting.join(centre, ["j", "h"]).where("comp <> other").select(F.least("mid", "id").alias("a"), F.greatest("mid", "id").alias("b")).distinct()
-    linked = cut(linked.union(_verify(near(again), docs)), "links")
-    more = cut(_verify(near(_joined(prefixes, named(linked))), docs), "links")
-    links = linked.union(more).distinct()
-    final = connected_components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    classes = texts.select("key", "id", "copies").join(final, F.col("id") == F.col("node"), "left").select("key", "id", "copies", F.coalesce("component", "id").alias("class_id"))
-    sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    classes = classes.join(sizes, "class_id").join(degree.withColumnRenamed("node", "_node"), F.col("id") == F.col("_node"), "left")
-    classes = classes.select("key", "class_id", "class_size", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    return rows.select(F.col("id").alias(id_col), "key").join(classes, "key", "left").select(id_col, "class_id", "class_size", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    Rows are told apart by id and text, so a row that shares its id with a copy stays. All columns stay as they are.
+    """
+    gone = cut(_classified(df, id_col, text_col).where("not kept").select(F.col("id").alias("_gone_id"), F.col("th").alias("_gone_text")).distinct(), "gone")
+    same = df[id_col].cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(df[text_col]) == F.col("_gone_text"))
+    return df.join(gone, same, "left_anti")

@@ -238,3 +238,53 @@ def test_pipeline(spark, tmp_path):
     assert 0 < len(kept[3]) <= len(kept[2])
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == kept[3]
+
+
+def components(n, linked):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(n)]
+
+
+def test_near_short_texts_and_large_groups(spark):
+    """Texts of few k-mers, where a sketch may differ at 4 of 5 k-mers in common, and a group whose members are not all like one text."""
+    rng = random.Random(9)
+    texts = []
+    for n in (5, 6, 8, 9, 12, 20, 33, 44):
+        for _ in range(6):
+            base = words(rng, n)
+            texts += [base, base + words(rng, 1), base[1:], words(rng, 1) + base + words(rng, 1)]
+    base = words(rng, 150)
+    for _ in range(150):
+        copy = base[: rng.randint(110, 150)]
+        for _ in range(rng.randint(0, 7)):
+            copy[rng.randrange(len(copy))] = "x" + str(rng.random())[2:]
+        texts.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.order_minhash_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    grams = [near_dedup.kmers(near_dedup.Words()(t)) for _, t in rows]
+    want = components(len(rows), lambda i, j: near_dedup.alignment(grams[i], grams[j]) > 0)
+    assert len(set(want)) > 40 and got == dict(enumerate(want))
+
+
+def test_near_rows_are_told_apart_by_id_and_text(spark):
+    rng = random.Random(10)
+    a, b, c = words(rng, 80), words(rng, 80), words(rng, 80)
+    rows = [(1, a), (2, [*a, "more"]), (2, b), (3, c), (3, c), (None, [*c, "more"]), (None, words(rng, 50)), (4, None), (5, [])]
+    df = spark.createDataFrame([(i, None if t is None else " ".join(t), 7, "x") for i, t in rows], "doc_id long, text string, class_id int, th string")
+    got = near_dedup.order_minhash_classes(df).collect()
+    assert len(got) == len(rows) and [r["class_id"] for r in got if r["doc_id"] == 1] == [1] and sorted(r["class_id"] for r in got if r["doc_id"] == 2) == [1, 2]
+    kept = near_dedup.keep_one_of_class(df)
+    assert kept.columns == df.columns
+    want = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c)), (3, " ".join(c)), (4, None), (None, " ".join(rows[6][1]))]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
