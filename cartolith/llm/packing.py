@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,96 +21,164 @@ TOKENIZER = "word_bpe_49k.json"
 #: Patterns that the least-squares step considers at most, and its steps.
 PATTERNS, STEPS = 4096, 200
 #: Distinct words whose ids a Python worker keeps; then it starts afresh. FEW_WORDS holds where other stages share the workers.
-CACHE_WORDS, FEW_WORDS = 1_000_000, 100_000
+CACHE_WORDS, FEW_WORDS = 1_500_000, 150_000
 #: Words that the tokenizer encodes at a time; its results take about a kilobyte a word until they are read.
 ENCODED = 4096
-#: Texts that are split into words at a time.
-SLICE_ROWS = 256
+#: Bytes of text that are split into words at a time (a longer text by itself), with and without `remember`.
+SLICE_BYTES, FEW_BYTES = 16 << 20, 2 << 20
+#: Rows of one length that a task numbers; longer lists are dealt over more tasks. At most PARTS parts up to MOST_ROWS rows in each.
+LEAST_ROWS, MOST_ROWS, PARTS = 500, 200_000, 1000
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class Ids:
     """Ids of whole texts, looked up word by word.
 
-    The tokenizer splits at white space before anything else that looks beyond a character, so a text's ids
-    are those of its space-separated parts in turn, and a part's ids are kept. A mark after letters and digits
-    is a token of its own, so `word,` is looked up as `word` and `,`.
+    Where the tokenizer lowers case and splits at white space before anything else that looks beyond a character, a
+    text's ids are those of its space-separated parts in turn, and a part's ids are kept. A run of letters is one word of
+    the tokenizer, whose last token bears the mark of a word's end, so many are encoded as one text and told apart by that
+    mark; a comma or full stop after such a word is a token of its own. Any other tokenizer encodes whole texts.
     """
 
-    def __init__(self, path: str, most: int = CACHE_WORDS):
+    def __init__(self, file: str, most: int = CACHE_WORDS):
+        import json
+
         from tokenizers import Tokenizer
 
-        self.most = most
-        self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.most, self.model = most, Tokenizer.from_str(file)
+        config = json.loads(file)
+        suffix = config["model"].get("end_of_word_suffix")
+        kinds = [n["type"] for n in (config.get("normalizer") or {}).get("normalizers", ())]
+        splits = [n["type"] for n in (config.get("pre_tokenizer") or {}).get("pretokenizers", ())]
+        self.wordwise = bool(suffix) and kinds == ["NFC", "Replace", "Lowercase"] and splits == ["Split", "ByteLevel"]
+        vocab = self.model.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        if suffix:
+            self.ends[[v for k, v in vocab.items() if k.endswith(suffix)]] = True
+        #: Added tokens are found in the text as it is, before its case is lowered.
+        self.added = [t["content"].lower() for t in config.get("added_tokens", ())]
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.begin, self.size, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint32)
+        self.single = np.zeros(1, bool)  # one word of the tokenizer
+
+    def _take(self, at: np.ndarray) -> np.ndarray:
+        """The ids of known words in a row."""
+        n = self.size[at]
+        end = np.cumsum(n)
+        return self.flat[np.repeat(self.begin[at] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+
+    def _keep(self, words: list[str], flat: np.ndarray, size: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.size), len(self.size) + len(words))))
+        self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        self.flat = np.concatenate((self.flat, flat))
+        ends = np.concatenate(([0], np.cumsum(self.ends[flat])))
+        below = np.cumsum(size)
+        self.single = np.concatenate((self.single, ends[below] - ends[below - size] == 1))
+
+    def _each(self, words: list[str]) -> None:
+        for k in range(0, len(words), ENCODED):
+            some = words[k : k + ENCODED]
+            got = [e.ids for e in self.model.encode_batch_fast(some, add_special_tokens=False)]
+            self._keep(some, np.array([i for x in got for i in x], dtype=np.uint32), np.array([len(x) for x in got], dtype=np.int64))
 
     def add(self, words: list[str]) -> None:
-        if len(self.known) > self.most:
-            self.known = {"": b""}
-        known, marked, new = self.known, {}, set()
+        """Learns the ids of words, none of which is known."""
+        letters, marked, other = {}, [], []
         for w in words:
-            if w not in known:
-                if w[-1] in ",." and w.isascii() and w[:-1].isalnum():
-                    marked[w] = w[:-1].lower()
-                    new.add(marked[w])
-                    new.add(w[-1])
-                elif w.isascii() and w.isalnum():
-                    marked[w] = w.lower()
-                    new.add(marked[w])
-                else:
-                    new.add(w)
-        ordered = [w for w in new if w not in known]
-        for at in range(0, len(ordered), ENCODED):
-            some = ordered[at : at + ENCODED]
-            for w, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, core in marked.items():
-            known[w] = known[core] if len(core) == len(w) else known[core] + known[w[-1]]
+            if w.isalpha():
+                letters[w] = None
+            elif w[-1] in ",." and w[:-1].isalpha():
+                marked.append(w)
+                if w[:-1] not in self.known:
+                    letters[w[:-1]] = None
+            else:
+                other.append(w)
+        new = list(letters)
+        for k in range(0, len(new), ENCODED):
+            some = new[k : k + ENCODED]
+            flat = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, dtype=np.uint32)
+            last = np.flatnonzero(self.ends[flat])
+            if len(last) == len(some):
+                self._keep(some, flat, np.diff(last, prepend=-1))
+            else:  # letters of which normalisation makes more than letters
+                self._each(some)
+        if marked:
+            self._each([m for m in ",." if m not in self.known and m not in other])
+        self._each(other)
+        plain = self.single[[self.known[w[:-1]] for w in marked]]
+        self._each([w for w, ok in zip(marked, plain) if not ok])
+        if pairs := [w for w, ok in zip(marked, plain) if ok]:
+            at = np.array([self.known[x] for w in pairs for x in (w[:-1], w[-1])])
+            self._keep(pairs, self._take(at), self.size[at].reshape(-1, 2).sum(1))
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids begin and end."""
-        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        texts = pc.fill_null(texts, "")
+        if not self.wordwise:
+            got = [e.ids for e in self.model.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for x in got for i in x], dtype=np.uint32), np.cumsum([0, *map(len, got)])
+        lower = pc.ascii_lower(texts)
+        if not any(pc.any(pc.match_substring(lower, t)).as_py() for t in self.added):
+            texts = lower
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        self.add(words)
-        parts = [self.known[w] for w in words]
-        size = np.array([len(x) // 4 for x in parts], dtype=np.int64)
-        flat = np.frombuffer(b"".join(parts), dtype="<u4")
-        begin = np.cumsum(size) - size
-        n = size[at]
-        end = np.cumsum(n)
-        ids = flat[np.repeat(begin[at] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        words = coded.dictionary.to_pylist()
+        if len(self.known) > self.most:
+            self.clear()
+        if new := [w for w in words if w not in self.known]:
+            self.add(new)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        end = np.cumsum(self.size[at])
         # offsets of a sliced list array count from the whole
         edges = lists.offsets.to_numpy()
-        return ids, np.concatenate(([0], end))[edges - edges[0]]
+        return self._take(at), np.concatenate(([0], end))[edges - edges[0]]
+
 
+#: One for a Python worker, by the file's digest, so that what it knows lasts from task to task.
+_ids: dict[str, Ids] = {}
 
-@lru_cache(1)
-def ids_of(path: str, most: int) -> Ids:
-    """One for a Python worker, so that what it knows lasts from task to task."""
-    import os
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Ids(path, most)
+def _slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(from, below) of runs of texts of at most `most` bytes together, or of one text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(size):
+        below = int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right"))
+        yield at, (below := max(at + 1, below))
+        at = below
 
 
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, remember: bool = True) -> DataFrame:
     """One row per piece of a document: full windows from its start, then what is left.
 
-    A null text counts as empty and gives one piece of the end id alone. With `remember`, a worker keeps the ids of
-    words from task to task; without, it keeps few and gives their memory back, for jobs with other stages on the same workers.
+    A null text counts as empty and gives one piece of the end id alone. The driver reads the tokenizer's file, of a few
+    megabytes, and sends it. With `remember`, a worker keeps the ids of words from task to task; without, it keeps few and
+    gives their memory back, for jobs with other stages on the same workers.
     """
+    file = Path(tokenizer).read_text(encoding="utf-8")
+    name = f"{hashlib.sha256(file.encode()).hexdigest()}-{remember}"
+    sent = df.sparkSession.sparkContext.broadcast(file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ids_of(tokenizer, CACHE_WORDS if remember else FEW_WORDS)
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        if name not in _ids:
+            _ids.clear()
+            _ids[name] = Ids(sent.value, CACHE_WORDS if remember else FEW_WORDS)
+        ids = _ids[name]
         last = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             docs = batch.column(0).to_pylist()
-            for at in range(0, len(docs), SLICE_ROWS):
-                flat, edges = ids.texts(batch.column(1).slice(at, SLICE_ROWS))
-                edges = edges.tolist()
+            for at, below in _slices(batch.column(1), SLICE_BYTES if remember else FEW_BYTES):
+                flat, edges = ids.texts(batch.column(1).slice(at, below - at))
+                flat, edges = flat.astype("<u4", copy=False), edges.tolist()
                 out: list[list] = [[], [], [], [], []]
-                for doc, a, b in zip(docs[at : at + SLICE_ROWS], edges, edges[1:]):
+                for doc, a, b in zip(docs[at:below], edges, edges[1:]):
                     total = b - a + 1
                     for k in range(0, total, window):
                         crc = zlib.crc32(flat[a + k : min(a + k + window, b)])
@@ -120,7 +189,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
         if not remember:
             del ids
-            ids_of.cache_clear()
+            _ids.clear()
             give_back()
 
     return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, PIECE_SCHEMA)
@@ -220,17 +289,21 @@ def intervals(solved: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
 def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, remember: bool = True) -> DataFrame:
     """Every piece of every document with its sequence and its offset there.
 
-    Ties (pieces of one length) are dealt by document and start. Repeated rows are packed each by itself. An
-    empty table gives an empty result; other columns are ignored. The driver holds the histogram of lengths
-    (at most `window` rows) and the solved patterns (at most PATTERNS + window).
+    Pieces of one length are dealt by a hash, document and start; which of two equal rows comes first makes no difference.
+    Repeated rows and null ids are packed each by itself. An empty table gives an empty result; other columns, whatever
+    their names, are ignored. The driver holds the histogram of lengths (at most `window` rows) and the solved patterns
+    (at most PATTERNS + window).
     """
     spark = df.sparkSession
     cutted = cut(pieces(df, tokenizer, id_col, text_col, window, remember), "pieces")
     counts = {r["length"]: r["n"] for r in cutted.groupBy("length").agg(F.count("*").alias("n")).collect()}
     solved = intervals(solve(counts, window))
-    total = sum(counts.values())
-    parts = max(1, total // 200_000)  # of each length, so that no task numbers more than a few hundred thousand rows
-    dealt = bucketed_rank(cutted.withColumn("_part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts))), ["length"], ["_part"], [F.col("doc_id").asc_nulls_last(), F.col("start")], "_rank")
+    # only lengths of many pieces are dealt over several parts, at most `window` of them
+    limit = min(MOST_ROWS, max(LEAST_ROWS, sum(counts.values()) // PARTS))
+    shares = [(k, -(-n // limit)) for k, n in counts.items() if n > limit]
+    split = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in shares for v in kv]), F.col("length").cast("int")), F.lit(1)) if shares else F.lit(1)
+    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), split)
+    dealt = bucketed_rank(cutted.withColumn("_part", part), ["length"], ["_part"], [F.col("doc_id").asc_nulls_last(), F.col("start"), F.col("ids_crc32")], "_rank")
     where = spark.createDataFrame(solved or [(0, 0, 0, 1, 0, 0)], "_len long, _lo long, _hi long, _m long, _seq long, _off long")
     hit = (F.col("length") == F.col("_len")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
     nth = F.col("_rank") - F.col("_lo")
