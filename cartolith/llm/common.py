@@ -35,6 +35,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores added until no column of df has it, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 

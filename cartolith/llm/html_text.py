@@ -11,12 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import free_name, text_or_empty
 
 #: Elements of HTML by what they mean here.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video map textarea select datalist button".split())
+#: What is no text of the page: scripts, styles, other markup, and the controls of forms. Formulas, drawings' and hidden text are text.
+HIDDEN = frozenset("script style noscript template head title iframe noframes noembed textarea select datalist button".split())
 SIDE = frozenset("nav header footer aside form menu dialog search".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CONTAINERS = frozenset("article main section div td body".split())
@@ -24,15 +25,28 @@ SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form
 SIDE_NAMES = frozenset("ad ads adv advert adverts advertisement adbox banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead comment comments disqus replies respond cookie cookies consent gdpr notice popup modal newsletter subscribe signup share sharing social related recommended toolbar pagination pager widget copyright login".split())
 #: Of these, names that stand for what others wrote or for other pages, which come as articles too.
 FIRM_NAMES = frozenset("ad ads advert adverts advertisement sponsored promo comment comments disqus replies respond related recommended".split())
+#: A class such as has-sidebar or page-with-nav tells of the page, not of the element that bears it.
+STATES = frozenset("has have with without no not is are show hide page layout".split())
 #: A <p> is closed by these, as browsers do, and an item by its like.
 CLOSES_P = BLOCKS - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 SPACE = re.compile(r"\s+")
-NAMES = re.compile(r"[a-z]+")
+NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SIGMA = 1.0
 
 
+def side_names(attrs: dict) -> set[str]:
+    """The words of an element's classes and id by which it is a side of the page."""
+    found: set[str] = set()
+    for key in ("class", "id"):
+        for name in (attrs.get(key) or "").split():
+            words = [w.lower() for w in NAMES.findall(name)]
+            if words and words[0] not in STATES:
+                found.update(words)
+    return found & SIDE_NAMES
+
+
 class Line:
     __slots__ = ("text", "tags", "links", "path", "heading", "side", "soft")
 
@@ -85,7 +99,7 @@ class Events(HTMLParser):
             return
         _, _, hidden, side, soft = self.stack[-1] if self.stack else ("", 0, False, False, ())
         got = dict(attrs)
-        hidden = hidden or tag in HIDDEN or "hidden" in got or (got.get("aria-hidden") or "").lower() == "true" or "display:none" in (got.get("style") or "").replace(" ", "").lower()
+        hidden = hidden or tag in HIDDEN
         if tag == "main" or tag == "article" and not any(t in ("aside", "footer", "dialog", "menu", "search") for t, *_ in self.stack):
             # what is around it is no side of the page, unless an article may be a comment or a teaser
             kept = () if tag == "main" else tuple(n for n in soft if n in self.firm)
@@ -95,7 +109,7 @@ class Events(HTMLParser):
             # an article's own header holds its headline
             inside = any(t in ("article", "main") for t, *_ in self.stack)
             own = tag == "header" and inside
-            named = {x for key in ("class", "id") for x in NAMES.findall((got.get(key) or "").lower())} & (SIDE_NAMES - {"header"} if inside else SIDE_NAMES)
+            named = side_names(got) - ({"header"} if inside else set())
             side = tag in SIDE and tag != "form" and not own or (got.get("role") or "").lower() in SIDE_ROLES - {"form"}
             if not side and (tag == "form" or (got.get("role") or "").lower() == "form" or bool(named) and not own):
                 soft = (*soft, self.count + 1)
@@ -145,7 +159,7 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
 
 
 def threshold(values: list[float]) -> float:
-    """One standard deviation of the smoothed ratios, the cut between the two clusters of lines."""
+    """One standard deviation of the smoothed ratios, the cut between the two clusters of lines; the mean where that is less, so that some line is content."""
     mean = sum(values) / len(values)
     return min(mean, math.sqrt(sum((v - mean) ** 2 for v in values) / len(values)))
 
@@ -201,10 +215,11 @@ def main_text(html: str) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages' columns with _main_text and its code points _main_chars.
+    """pages with, last, a struct `_main` (with underscores added where pages has that name): text and its code points chars.
 
     A null page counts as empty. Markup that does not end, unknown elements and bare text are read as far as
-    they go; nothing is cut to a length. An empty table gives an empty result.
+    they go; nothing is cut to a length. Equal pages give equal texts. An empty table gives an empty result; columns of
+    pages stay as they are.
     """
 
     @F.pandas_udf("string")
@@ -212,5 +227,6 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
         for batch in batches:
             yield pd.Series([main_text(x or "") for x in batch], dtype="object")
 
-    out = pages.withColumn("_main_text", run.asNondeterministic()(text_or_empty(F.col(html_col))))
-    return out.withColumn("_main_chars", F.length("_main_text").cast("long"))
+    name = free_name(pages, "_main")
+    out = pages.withColumn(name, run.asNondeterministic()(text_or_empty(F.col(html_col))))
+    return out.withColumn(name, F.struct(F.col(name).alias("text"), F.length(name).cast("long").alias("chars")))

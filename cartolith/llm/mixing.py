@@ -5,76 +5,122 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, cut, text_or_empty, uniform
+from .common import NOT_SPACE, cut, free_name, text_or_empty, uniform
 
-#: Cells of the mixture table (source x language x topic) that the operator accepts.
+#: Cells of the mixture table (source x language x topic) that the operator accepts; more are an error before they are raked.
 MAX_CELLS = 1_000_000
-TOPICS = 8
+#: A document counts at most so many times what it would by itself: rare cells can't push all others' probabilities down.
+#: As weights are 1 on average, about 1 / MOST_WEIGHT of the tokens are kept, or more.
+MOST_WEIGHT = 2.0
+#: Topics of a corpus without a topic column, and the words that can stand for one.
+TOPICS = 16
+CONTENT_WORD = r"[A-Za-z]{5,}"
 
 
 def token_count(text: Column) -> Column:
     return F.regexp_count(text_or_empty(text), F.lit(NOT_SPACE)).cast("long")
 
 
-def content_topic(text: Column, topics: int = TOPICS) -> Column:
-    """A stand-in where the corpus has no topic column: the bucket of the text's longest word (ties: the greatest)."""
-    words = F.regexp_extract_all(text_or_empty(text), F.lit(NOT_SPACE), F.lit(0))
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    return F.pmod(F.conv(F.substring(F.md5(F.coalesce(longest, F.lit(""))), 1, 8), 16, 10).cast("long"), F.lit(topics)).cast("int")
+def content_words(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text_or_empty(text), F.lit(CONTENT_WORD), F.lit(0)), lambda w: F.lower(w))
 
 
-def rake(cells: DataFrame, dims: list[str], damping: float, rounds: int) -> DataFrame:
+def topic_words(docs: DataFrame, text_col: str, topics: int = TOPICS) -> list[str]:
+    """The words that most documents hold, of those that at most one document in `topics` holds; ties in the order of the words.
+
+    Words that are in more documents tell topics apart badly, rarer ones cover little. All documents are counted; what
+    reaches the driver is `topics` words.
+    """
+    held = docs.select(F.explode(F.array_distinct(content_words(F.col(text_col)))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    some = held.where(F.col("n") * topics <= F.lit(docs.count())).orderBy(F.desc("n"), "w").limit(topics)
+    return [r["w"] for r in some.collect()]
+
+
+def with_topic(docs: DataFrame, text_col: str = "text", topics: int = TOPICS) -> DataFrame:
+    """docs with, last, a column `_topic` (with underscores added where docs has that name): the topic word that a text
+    holds most often, of equals the more common one in the corpus; null where it holds none."""
+    words = topic_words(docs, text_col, topics)
+    hits, name = free_name(docs, "_topic_hits"), free_name(docs, "_topic")
+    if not words:
+        return docs.withColumn(name, F.lit(None).cast("string"))
+
+    def count(word: str) -> Column:
+        return F.size(F.filter(F.col(hits), lambda h: h == word))
+
+    counts = [F.struct(count(w).alias("n"), F.lit(-i).alias("r"), F.lit(w).alias("w")) for i, w in enumerate(words)]
+    best = F.greatest(*counts) if len(counts) > 1 else counts[0]
+    marked = docs.withColumn(hits, F.filter(content_words(F.col(text_col)), lambda w: w.isin(words)))
+    return marked.withColumn(name, F.when(F.size(hits) > 0, best["w"])).drop(hits)
+
+
+def rake(cells: DataFrame, dims: list[str], damping: float, rounds: int, most: float = MOST_WEIGHT) -> DataFrame:
     """Adds `fitted`: cells' tokens raked so that each margin has its target share.
 
     The target share of a margin's value is its actual token share to the power `damping`, normalised (1: as
-    it is; 0: equal). Each step scales a margin; a chain of windows over the pre-aggregated cells holds all
-    steps in one plan of which every part has one child. Cells of no tokens keep the weight 0.
+    it is; 0: equal). Each step scales a margin, and trims cells to `most` times their tokens: margins that would need
+    more stay below their target, all others meet it. The cells are few and already counted, so one task holds them and
+    a chain of windows runs there without an exchange. Cells of no tokens keep the weight 0.
     """
     for d in dims:
         total = F.sum("tokens").over(Window.partitionBy(d))
         cells = cells.withColumn(f"_t_{d}", F.when(total > 0, F.pow(total.cast("double"), F.lit(damping))).otherwise(F.lit(0.0)))
     cells = cut(cells, "cells")
+    size = cells.count()
+    if size > MAX_CELLS:
+        raise ValueError(f"{size} mixture cells; at most {MAX_CELLS} are meant to be raked")
     goal = {}
     for d in dims:
         row = cells.groupBy(d).agg(F.first(f"_t_{d}").alias("t")).agg(F.sum("t").alias("s")).first()
         goal[d] = float(row["s"] or 0.0) or 1.0
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    out = cells.withColumn("fitted", F.col("tokens").cast("double"))
+    out = cells.coalesce(1).withColumn("fitted", F.col("tokens").cast("double"))
     for _ in range(rounds):
         for d in dims:
             now = F.sum("fitted").over(Window.partitionBy(d))
-            out = out.withColumn("fitted", F.when(now > 0, F.col("fitted") * F.col(f"_t_{d}") * (total / goal[d]) / now).otherwise(F.lit(0.0)))
+            step = F.least(F.col("fitted") * F.col(f"_t_{d}") * (total / goal[d]) / now, F.col("tokens") * F.lit(most))
+            out = out.withColumn("fitted", F.when(now > 0, step).otherwise(F.lit(0.0)))
     return out.drop(*[f"_t_{d}" for d in dims])
 
 
-def mix(docs: DataFrame, id_col: str, text_col: str, dims: dict[str, Column], damping: float = 0.7, rounds: int = 8, seed: str = "mix") -> DataFrame:
-    """docs with _mix_tokens, _mix_weight, _mix_p and _mix_kept besides its own columns.
+def mix(docs: DataFrame, id_col: str, text_col: str, dims: dict[str, Column], damping: float = 0.7, rounds: int = 8, seed: str = "mix", columns: list[str] | None = None) -> DataFrame:
+    """docs with, last, a struct `_mix` (with underscores added where docs has that name): the raked dimensions, tokens,
+    weight, p and kept. With `columns`, only these columns of docs are carried along, and texts are read once.
 
     `dims` names the raked dimensions and gives each as an expression over docs; a null value is a value of
     its own. The weight is the fitted tokens over the actual tokens of the document's cell. The probability is
-    the weight over the greatest weight, so none exceeds 1 and the expected tokens of every margin are in
-    proportion to its target. A document stays if its uniform number, a function of id and seed, is below the
-    probability: equal ids get equal decisions, and a rerun decides alike. Documents without tokens carry no
-    weight in any margin and stay. An empty table gives an empty result.
+    the weight over the greatest weight, so none exceeds 1 and the expected tokens of every margin that trimming leaves
+    alone are in proportion to its target. A document stays if its uniform number, a function of id and seed, is below the
+    probability: equal ids (null ones too) get equal decisions, and a rerun decides alike. Documents without tokens
+    (null and empty texts) carry no weight in any margin and stay. An empty table gives an empty result; columns of
+    docs keep their values whatever their names.
     """
-    named = {f"_mix_{k}": v for k, v in dims.items()}
-    rows = docs.withColumns(named | {"_mix_tokens": token_count(F.col(text_col))})
-    cells = rows.groupBy(*named).agg(F.sum("_mix_tokens").alias("tokens"))
-    fitted = rake(cells, list(named), damping, rounds).withColumn("_mix_weight", F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")))
-    fitted = cut(fitted.select(*named, "_mix_weight"), "weights")
-    size = fitted.agg(F.count("*").alias("n"), F.max("_mix_weight").alias("top")).first()
-    if size["n"] > MAX_CELLS:
-        raise ValueError(f"{size['n']} mixture cells; at most {MAX_CELLS} are meant to be raked")
-    top = float(size["top"] or 1.0)
-    on = None
-    for k in named:
-        same = rows[k].eqNullSafe(fitted[k])
-        on = same if on is None else on & same
+    name = free_name(docs, "_mix")
+    facts = F.struct(*[v.alias(k) for k, v in dims.items()], token_count(F.col(text_col)).alias("tokens")).alias(name)
+    rows = docs.select(*[docs[c] for c in (docs.columns if columns is None else columns)], facts)
+    if columns is not None:
+        rows = cut(rows, "facts")
+    own = [f"d{i}" for i in range(len(dims))]
+    cells = rows.groupBy(*[F.col(name)[k].alias(o) for k, o in zip(dims, own)]).agg(F.sum(F.col(name)["tokens"]).alias("tokens"))
+    fitted = rake(cells, own, damping, rounds).select(*own, F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).alias("weight"))
+    fitted = cut(fitted, "weights")
+    top = float(fitted.agg(F.max("weight")).first()[0] or 1.0)
+    a, b = rows.alias("a"), fitted.alias("b")
+    on = F.lit(True)
+    for k, o in zip(dims, own):
+        on = on & F.col(f"a.{name}")[k].eqNullSafe(F.col(f"b.{o}"))
     # at most MAX_CELLS rows of a few values: a bounded broadcast
-    joined = rows.join(F.broadcast(fitted), on, "left").drop(*[fitted[k] for k in named])
-    p = F.when(F.col("_mix_tokens") > 0, F.col("_mix_weight") / F.lit(top)).otherwise(F.lit(1.0))
-    return joined.withColumn("_mix_p", p).withColumn("_mix_kept", uniform(F.col(id_col), seed) < F.col("_mix_p"))
+    tokens, weight = F.col(f"a.{name}.tokens"), F.col("b.weight")
+    p = F.when(tokens > 0, weight / F.lit(top)).otherwise(F.lit(1.0))
+    found = F.struct(F.col(f"a.{name}.*"), weight.alias("weight"), p.alias("p"), (uniform(F.col(f"a.`{id_col}`"), seed) < p).alias("kept"))
+    return a.join(F.broadcast(b), on, "left").select(*[F.col(f"a.`{c}`") for c in rows.columns[:-1]], found.alias(name))
+
+
+def document_dims(docs: DataFrame) -> dict[str, Column]:
+    """The dimensions of documents that `with_topic` has gone over."""
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col(docs.columns[-1])}
 
 
-def document_dims() -> dict[str, Column]:
-    return {"source": F.col("source"), "lang": F.col("lang"), "topic": content_topic(F.col("text"))}
+def mix_documents(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """`mix` of documents (doc_id, text, lang, source, ...) by source, language and topic, without the topic's own column."""
+    told = with_topic(docs)
+    return mix(told, "doc_id", "text", document_dims(told), columns=docs.columns if columns is None else columns)

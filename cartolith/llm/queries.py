@@ -24,15 +24,8 @@ def op1_order_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_rake_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id", "text", mixing.document_dims())
-    return mixed.select(
-        "doc_id",
-        F.col("_mix_topic").alias("topic"),
-        F.col("_mix_tokens").alias("tokens"),
-        F.round("_mix_weight", 6).alias("weight"),
-        F.round("_mix_p", 6).alias("probability"),
-        F.col("_mix_kept").alias("kept"),
-    )
+    mixed = mixing.mix_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), ["doc_id"])
+    return mixed.select("doc_id", "_mix.topic", "_mix.tokens", F.round("_mix.weight", 6).alias("weight"), F.round("_mix.p", 6).alias("probability"), "_mix.kept")
 
 
 def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +51,9 @@ def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id",
         F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
-        F.col("_tox_score").alias("score"),
-        (F.col("_tox_score") >= 0.5).cast("int").alias("predicted"),
-        F.size("_tox_passages").alias("passages"),
+        "_tox.score",
+        (F.col("_tox.score") >= 0.5).cast("int").alias("predicted"),
+        F.size("_tox.passages").alias("passages"),
     )
 
 
@@ -70,7 +63,7 @@ def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return got.select("page_id", "url", F.col("_main_text").alias("text"), F.col("_main_chars").alias("n_chars"))
+    return got.select("page_id", "url", "_main.text", F.col("_main.chars").alias("n_chars"))
 
 
 def op10_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +87,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _rake_sql(damping: float = 0.7, rounds: int = 8) -> str:
     dims = ("source", "lang", "topic")
     parts = [
-        f"""toks AS (SELECT doc_id, source, lang, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-docs AS (SELECT doc_id, source, lang, len(w) AS tokens,
-  ('0x' || substr(md5(coalesce(list_max(list_transform(w, lambda x: {{'n': length(x), 'w': x}})).w, '')), 1, 8))::BIGINT % {mixing.TOPICS} AS topic FROM toks),
+        f"""toks AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens,
+  list_transform(regexp_extract_all(coalesce(text, ''), '{mixing.CONTENT_WORD}'), lambda x: lower(x)) AS w FROM documents),
+held AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct(w)) AS w FROM toks) GROUP BY w),
+topics AS MATERIALIZED (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS i FROM held WHERE n * {mixing.TOPICS} <= (SELECT count(*) FROM toks) ORDER BY n DESC, w LIMIT {mixing.TOPICS}),
+hits AS (SELECT r, w, i, count(*) AS n FROM (SELECT r, unnest(w) AS w FROM toks) JOIN topics USING (w) GROUP BY r, w, i),
+best AS (SELECT r, arg_max(w, n * 1000 - i) AS topic FROM hits GROUP BY r),
+docs AS MATERIALIZED (SELECT doc_id, source, lang, tokens, topic FROM toks LEFT JOIN best USING (r)),
 c0 AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens, sum(tokens)::DOUBLE AS fitted FROM docs GROUP BY ALL)"""
     ]
     for d in dims:
@@ -106,18 +103,18 @@ c0 AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens, sum(tokens)::D
     for _ in range(rounds):
         for d in dims:
             parts.append(
-                f"c{step + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN now > 0 THEN fitted * goal / now ELSE 0 END AS fitted FROM "
+                f"c{step + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN now > 0 THEN least(fitted * goal / now, tokens * {mixing.MOST_WEIGHT}) ELSE 0 END AS fitted FROM "
                 f"(SELECT c.*, sum(fitted) OVER (PARTITION BY c.{d}) AS now, g.goal FROM c{step} c JOIN g_{d} g ON c.{d} IS NOT DISTINCT FROM g.{d}))"
             )
             step += 1
     parts.append(f"w AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN fitted / tokens END AS weight FROM c{step})")
     return (
         "WITH " + ",\n".join(parts) + """
-SELECT doc_id, d.topic::INTEGER AS topic, tokens, round(weight, 6) AS weight,
-  round(CASE WHEN tokens > 0 THEN weight / (SELECT max(weight) FROM w) ELSE 1 END, 6) AS probability,
+SELECT doc_id, d.topic AS topic, d.tokens AS tokens, round(weight, 6) AS weight,
+  round(CASE WHEN d.tokens > 0 THEN weight / (SELECT max(weight) FROM w) ELSE 1 END, 6) AS probability,
   ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
-    < CASE WHEN tokens > 0 THEN weight / (SELECT max(weight) FROM w) ELSE 1 END AS kept
-FROM docs d JOIN w ON d.source IS NOT DISTINCT FROM w.source AND d.lang IS NOT DISTINCT FROM w.lang AND d.topic = w.topic"""
+    < CASE WHEN d.tokens > 0 THEN weight / (SELECT max(weight) FROM w) ELSE 1 END AS kept
+FROM docs d JOIN w ON d.source IS NOT DISTINCT FROM w.source AND d.lang IS NOT DISTINCT FROM w.lang AND d.topic IS NOT DISTINCT FROM w.topic"""
     )
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, text_or_empty, uniform
+from .common import cut, free_name, give_back, text_or_empty, uniform
 
 WORD = re.compile(r"\w+")
 #: Lengths of the prefixes that stand for words too rare to count.
@@ -257,12 +257,13 @@ def squash(t):
     return np.sign(t) * np.log1p(np.abs(t))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's columns with _tox_score (0 to 1), _tox_evidence and _tox_passages, the significant passages.
+def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with, last, a struct `_tox` (with underscores added where docs has that name): score (0 to 1), evidence and
+    passages, the significant ones.
 
     A passage gives its words' positions (from, below) and its score. The whole text is scored; null counts as
     empty. A text without words has no passage and the score of no evidence. No label, language, source or id
-    enters a score, so equal texts score alike. An empty table gives an empty result.
+    enters a score, so equal texts score alike. An empty table gives an empty result; columns of docs stay as they are.
     """
 
     @F.pandas_udf("score double, evidence double, passages array<struct<start:int,end:int,score:double>>")
@@ -281,6 +282,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         memo.clear()
         give_back()
 
-    judge = judge.asNondeterministic()  # so that it is not run again for each use of a field
-    got = docs.withColumn("_tox", judge(text_or_empty(F.col(text_col))))
-    return got.select(*[docs[c] for c in docs.columns], F.col("_tox.score").alias("_tox_score"), F.col("_tox.evidence").alias("_tox_evidence"), F.col("_tox.passages").alias("_tox_passages"))
+    # nondeterministic, so that it is not run again for each use of a field
+    return docs.withColumn(free_name(docs, "_tox"), judge.asNondeterministic()(text_or_empty(F.col(text_col))))

@@ -92,12 +92,31 @@ def test_mixing(spark, docs, none):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     out = mixing.mix(df, "doc_id", "text", {"source": F.col("source"), "lang": F.col("lang")}, damping=0.5, rounds=20)
     for d in ("source", "lang"):
-        by = {r[d]: (r["a"], r["w"]) for r in out.groupBy(d).agg(F.sum("_mix_tokens").alias("a"), F.sum(F.col("_mix_tokens") * F.col("_mix_p")).alias("w")).collect()}
+        by = {r[d]: (r["a"], r["w"]) for r in out.groupBy(d).agg(F.sum("_mix.tokens").alias("a"), F.sum(F.col("_mix.tokens") * F.col("_mix.p")).alias("w")).collect()}
         goal, got = sum(a**0.5 for a, _ in by.values()), sum(w for _, w in by.values())
         assert all(abs(w / got - a**0.5 / goal) < 1e-3 for a, w in by.values())
-    assert out.agg(F.max("_mix_p")).first()[0] == pytest.approx(1.0)
-    assert mixing.mix(docs, "doc_id", "text", mixing.document_dims()).count() == len(AWKWARD)
-    assert mixing.mix(none, "doc_id", "text", mixing.document_dims()).count() == 0
+    assert out.agg(F.max("_mix.p")).first()[0] == pytest.approx(1.0)
+    clash = docs.select("*", F.lit(1).alias("_MIX"), F.lit("t").alias("topic"), F.lit(2).alias("_topic"), F.lit(3).alias("tokens"), F.lit(4).alias("d0"))
+    for mixed in (mixing.mix_documents(clash), mixing.mix_documents(clash.where("false"))):
+        assert mixed.columns == [*clash.columns, "_mix_"]
+    mixed = mixing.mix_documents(clash).collect()
+    assert len(mixed) == len(AWKWARD) and {(r["_MIX"], r["topic"], r["_topic"], r["tokens"], r["d0"]) for r in mixed} == {(1, "t", 2, 3, 4)}
+    assert all(r["_mix_"]["kept"] and r["_mix_"]["p"] == 1.0 for r in mixed if r["_mix_"]["tokens"] == 0) and mixing.mix_documents(none).count() == 0
+    assert mixing.mix_documents(docs, ["doc_id"]).columns == ["doc_id", "_mix"]
+
+
+def test_topics_match_brute_force(spark):
+    rng = random.Random(12)
+    names = ["alpha", "Bravo", "charlie", "delta", "echoes", "foxtrot", "golfers", "hotel", "the", "in"]
+    texts = [" ".join(rng.choice(names[: 1 + rng.randrange(10)] if i % 3 else ["zz"]) for _ in range(rng.randint(0, 12))) for i in range(400)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = Counter(w for t in texts for w in {w.lower() for w in (t or "").split() if len(w) >= 5})
+    words = sorted((w for w, n in held.items() if n * 4 <= len(texts)), key=lambda w: (-held[w], w))[:4]
+    assert len(words) == 4 and mixing.topic_words(df, "text", 4) == words
+    for r in mixing.with_topic(df, topics=4).collect():
+        own = Counter(w.lower() for w in (r["text"] or "").split())
+        best = min((-own[w], k, w) for k, w in enumerate(words))
+        assert r["_topic"] == (best[2] if best[0] else None)
 
 
 def test_backoff_matches_brute_force(spark, docs, none):
@@ -143,6 +162,13 @@ def test_neighbours(spark):
     assert neighbours.nearest_rows(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_rows_few_rows_and_other_dimensions(spark):
+    rows = [(0, [1.0, 0.0], 0), (0, [1.0, 0.0], 0), (0, [9.0, 0.0], 0), (1, [1.5, 0.0], 0), (2, [1.0, 0.5], 0), (2, [1.0, 0.5], 0), (100, [1.0, 2.0, 3.0], 0), (101, [1.0, 2.0, 4.0], 0), (200, [1.0], 0), (None, [1.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest_rows(df, df.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 2, 0.5), (100, 1, 101, 1.0)]
+
+
 def test_shards(spark, docs, none):
     df = spark.createDataFrame([(i, f"a shared line that is long {i % 40}\nown text {i % 700}") for i in range(1000)] + [(5000 + i, "copy") for i in range(500)], "doc_id long, text string")
     got = sharding.shard(df).toPandas()
@@ -151,7 +177,8 @@ def test_shards(spark, docs, none):
     pdf = df.toPandas().merge(got, on="doc_id")
     assert all(zlib.crc32(t.encode()) == c and len(t.encode()) + 8 == s for t, c, s in zip(pdf["text"], pdf["text_crc32"], pdf["size"]))
     linked = pdf[pdf.doc_id < 1000].assign(line=lambda d: d.text.str.split("\n").str[0]).groupby("line")["shard"].agg(lambda s: s.value_counts().iloc[0] / len(s)).mean()
-    assert linked > 0.5  # a deal by hash would leave 1 / 24
+    assert linked > 0.85  # a deal by hash would leave 1 / 24
+    assert (pdf["label"] == pdf["shard"]).mean() > 0.5
     assert sharding.shard(docs).count() == len(AWKWARD) and sharding.shard(none).count() == 0
 
 
@@ -164,9 +191,32 @@ def test_quality(spark, docs, none, labels):
     good = got.index % 4 > 0
     assert got["selected"].sum() == round(800 * float(marks.agg(F.avg("quality")).first()[0])) and got[good]["selected"].mean() > 0.97 and got[~good]["selected"].mean() < 0.1
     assert quality.resample(docs, labels).where("selected").count() == len(AWKWARD) and quality.resample(none, labels).count() == 0
+    double = marks.union(marks).union(spark.createDataFrame([(1, 0, 0), (1, 1, 0)], marks.schema))
+    assert set(quality.resample(df, double).where("selected").toPandas()["doc_id"]) == set(quality.resample(df, marks.where("doc_id <> 1").union(spark.createDataFrame([(1, 0, 0)], marks.schema))).where("selected").toPandas()["doc_id"])
     keyed = spark.createDataFrame([(i, float(i % 97)) for i in range(5000)], "doc_id long, key double")
     want = {i for i, _ in sorted(((i, float(i % 97)) for i in range(5000)), key=lambda r: (-r[1], r[0]))[:1234]}
     assert {r["doc_id"] for r in quality.top_k(keyed, "key", 1234, "doc_id").where("_selected").collect()} == want
+    same = spark.range(30_000).select((F.col("id") * 7 % 30_000).alias("doc_id"), F.lit(1.5).alias("key")).union(spark.createDataFrame([(None, 1.5), (9, None)], "doc_id long, key double"))
+    got = {r["doc_id"] for r in quality.top_k(same, "key", 12_345, "doc_id").where("_selected").collect()}
+    assert got == set(range(12_345)) and quality.top_k(same, "key", 10**6, "doc_id").where("_selected").count() == 30_001
+
+
+def test_importance_matches_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["good", "fine", "well"] if i % 2 else ["bad", "ill", "poor", "fine"]) for _ in range(rng.randint(0, 9)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "_id long, _text string")
+    ratio = quality.model(df, spark.createDataFrame([(i,) for i in range(1, 60, 2)], "_id long"))
+    features = quality.Features()
+    raw, target = np.full(quality.BUCKETS, quality.SMOOTH), np.zeros(quality.BUCKETS)
+    for i, t in rows:
+        for b in features(t):
+            raw[b] += 1
+            target[b] += i % 2
+    raw /= raw.sum()
+    target = (target + quality.SMOOTH * quality.BUCKETS * raw) / (target.sum() + quality.SMOOTH * quality.BUCKETS)
+    assert np.allclose(ratio, np.log(target / raw))
+    got = {r["_id"]: r["_log"] for r in quality.log_weights(df, ratio).collect()}
+    assert all(got[i] == pytest.approx(sum(ratio[b] for b in features(t)), abs=1e-9) for i, t in rows)
 
 
 def test_segments_match_brute_force():
@@ -189,8 +239,11 @@ def test_toxicity(spark, docs, none, labels):
         rows.append((i, " ".join(ws)))
         marks.append((i, 1, int(bad)))
     df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
-    got = toxicity.score(df, toxicity.fit(df, lab)).join(lab, "doc_id").where(toxicity.fold(F.col("doc_id")) == 0).toPandas()
-    assert (got["toxic"] == (got["_tox_score"] >= 0.5)).mean() > 0.98 and got["_tox_score"].between(0, 1).all()
+    got = toxicity.score(df, toxicity.fit(df, lab)).join(lab, "doc_id").where(toxicity.fold(F.col("doc_id")) == 0).select("toxic", "_tox.score").toPandas()
+    assert (got["toxic"] == (got["score"] >= 0.5)).mean() > 0.98 and got["score"].between(0, 1).all()
+    clash = docs.select("*", F.lit(1).alias("_tox"), F.lit(2).alias("_tox_score"), F.lit(3).alias("_y"), F.lit(4).alias("_cal"), F.lit(5).alias("_ID"))
+    out = toxicity.score(clash, toxicity.fit(clash, lab))
+    assert out.columns == [*clash.columns, "_tox_"] and {(r["_tox"], r["_tox_score"]) for r in out.collect()} == {(1, 2)}
     assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == len(AWKWARD) and toxicity.score(none, toxicity.fit(none, labels)).count() == 0
 
 
