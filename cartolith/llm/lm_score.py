@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, text_or_empty
+from .common import cut, shuffle_partitions, text_or_empty
 
 WORD = re.compile(r"\w+")
 BACKOFF = 0.4
@@ -98,7 +98,9 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
     for having been seen. A word's score is the relative frequency of its longest n-gram that other texts
     hold, times BACKOFF for each word of context given up; a word that no other text holds counts as seen
     once. A text without words (null, empty) has 0 tokens, a log_score of 0 and a null mean. Copies of a text
-    count as other texts. Ids are carried along only: repeated or null ids are rows like others.
+    count as other texts. Ids are carried along only: repeated or null ids are rows like others (rows that repeat an id
+    and its text are dealt to one chunk). An empty table gives an empty result; other columns, whatever their names, are
+    ignored.
 
     Counts never come together in one place: each chunk of texts sends the distinct n-grams it holds with
     their counts to groups by hash, a group adds the counts up, and the sums go back to the chunks that asked.
@@ -176,13 +178,14 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
             hit = np.isnan(best) & (seen[n - 1] > 0) & (before > 0)
             best[hit] = np.log(seen[n - 1][hit] / before[hit])
             lost[np.isnan(best)] += 1
-        rest = np.isnan(best)
-        best[rest] = np.log(np.maximum(seen[0][rest], 1)) - math.log(max(1, total))
+        rest = np.isnan(best)  # the corpus' size is taken off these in the end
+        best[rest] = np.log(np.maximum(seen[0][rest], 1))
+        single = np.bincount(owner, weights=rest, minlength=len(texts)).astype(np.int64)
         per = np.bincount(owner, weights=best + lost * math.log(BACKOFF), minlength=len(texts))
         backs = np.bincount(owner, weights=lost, minlength=len(texts)).astype(np.int64)
-        mean = [float(s / t) if t else None for s, t in zip(per, tokens)]
-        return pd.DataFrame({"id": pd.Series(lists, dtype=texts["id"].dtype), "tokens": tokens, "log_score": per, "mean_log_score": mean, "backoffs": backs})
+        return pd.DataFrame({"id": pd.Series(lists, dtype=texts["id"].dtype), "tokens": tokens, "score": per, "single": single, "backoffs": backs})
 
-    total = int(rows.agg(F.sum(F.regexp_count("text", F.lit(r"[\p{L}\p{N}_]+"))).cast("long")).first()[0] or 0)
-    out = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(judge, f"id {kind}, tokens long, log_score double, mean_log_score double, backoffs long")
-    return out.withColumnRenamed("id", id_col)
+    out = cut(dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(judge, f"id {kind}, tokens long, score double, single long, backoffs long"), "scores")
+    total = out.agg(F.sum("tokens")).first()[0] or 1
+    log_score = F.col("score") - F.col("single") * F.lit(math.log(total))
+    return out.select(F.col("id").alias(id_col), "tokens", log_score.alias("log_score"), F.when(F.col("tokens") > 0, log_score / F.col("tokens")).alias("mean_log_score"), "backoffs")
