@@ -14,30 +14,37 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("_tox_score < 0.5").select(docs.columns)
+    """Documents whose toxicity score is below 0.5, all columns as they are.
+
+    The model learns from the labelled ones among docs. Null and empty texts, which have no passage, stay; equal texts
+    score alike, so repeated rows stay or go together; without labels of both kinds, or of an empty table, nothing goes.
+    """
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.where(F.col(scored.columns[-1])["score"] < 0.5).select(*[scored[c] for c in scored.columns[:-1]])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: of the most code points, then the smallest id; null texts are empty, null ids last."""
     return exact_dedup.keep_one_of_equals(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each near-duplicate class; documents without an id stay."""
-    classes = near_dedup.order_minhash_classes(docs)
-    removed = cut(classes.where("doc_id <> class_id").select("doc_id").distinct(), "removed")
-    return docs.join(removed, "doc_id", "left_anti").select(docs.columns)
+    """One document, that of the smallest id, of each near-duplicate class; null ids come last, and rows are told apart by id and text."""
+    return near_dedup.keep_one_of_class(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose source, language and topic margins are raked to their damped targets."""
-    return mixing.mix(docs, "doc_id", "text", mixing.document_dims()).where("_mix_kept").select(docs.columns)
+    """A sample whose source, language and topic margins are raked to their damped targets.
+
+    A null source or language is a value of its own; documents without words carry no weight and stay; rows of one id
+    are decided alike; an empty table stays empty.
+    """
+    mixed = mixing.mix_documents(docs)
+    return mixed.where(F.col(mixed.columns[-1])["kept"]).select(*[mixed[c] for c in mixed.columns[:-1]])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
+    """The pieces of all documents with their places in sequences; a null or empty text is one piece of the end id; repeated rows are packed each by itself."""
     return packing.pack(docs, tokenizer_path(), remember=False)
 
 
