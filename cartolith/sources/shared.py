@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """What runs inside deletes its shuffle files when it has ended, and not when the driver happens to collect garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: a lost executor costs a reread, not a recomputation.
 
@@ -29,7 +48,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_cleaned(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -41,7 +61,8 @@ class Scratch:
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        with shuffles_cleaned(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
