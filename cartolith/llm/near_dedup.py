@@ -30,10 +30,12 @@ SKETCHES, ELL = 14, 3
 BINS, DEVIATIONS = 128, 3.5
 #: K-mers of the texts that are aligned with one text in a task.
 ALIGNED = 200_000
+#: Rows of three numbers that are broadcast at most; more are joined by a shuffle of the texts.
+SENT = 500_000
 #: Texts of at most so many k-mers are joined exactly, as a few k-mers make few sketches that differ.
 SHORT = 40
 #: Turns in which components that meet at a k-mer are compared by one text of each, before the exact join of what is left.
-TURNS = 3
+TURNS = 2
 #: K-mers before a posted one that tell whether two texts have met before.
 BEFORE = 32
 
@@ -306,7 +308,9 @@ def _classified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     star = kept.cut(near(star), "star")
     short = texts.where(f"n > 0 and n <= {SHORT}").select("node")
     wanted = star.select(F.col("a").alias("node")).union(star.select("b")).union(held.where("size > 2").select("node")).union(short).distinct()
-    which = texts.select("node", F.col("id").alias("_id"), F.col("th").alias("_th")).join(wanted, "node")
+    which = kept.cut(texts.select("node", F.col("id").alias("_id"), F.col("th").alias("_th")).join(wanted, "node"), "wanted")
+    if which.count() <= SENT:
+        which = F.broadcast(which)
     source = docs.join(which, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("node", "text")
     source = kept.cut(source.dropDuplicates(["node"]) if unsure else source, "source")
 
