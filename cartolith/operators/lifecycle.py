@@ -11,15 +11,20 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with new's rows in the place of equal keys; of equal keys in new any one row is taken."""
-    fresh = new.dropDuplicates(keys)
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """old with new's rows in the place of equal keys; of equal keys in new the first by `order`, and then by a hash of the row, so that reruns agree."""
+    fresh = latest(new, keys, [*(order or []), F.xxhash64(*new.columns)])
     return old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
 
 
+def put_artifacts(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Artifacts with new ones in the place of equal keys, the one updated last first."""
+    return upsert(old, new, keys, [F.col("updated_at").desc_nulls_last()])
+
+
 def upsert_existing(documents: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
     """Documents with the columns of matching results filled in and the state ready; results without a document are ignored."""
-    fresh = results.dropDuplicates(keys).withColumn("_hit", F.lit(True))
+    fresh = latest(results, keys, [F.xxhash64(*results.columns)]).withColumn("_hit", F.lit(True))
     joined = documents.alias("d").join(fresh.alias("r"), keys, "left")
     columns = []
     for c in documents.columns:

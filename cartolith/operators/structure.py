@@ -1,16 +1,19 @@
-"""Pages to paragraphs and claims, one document at a time on the executors."""
+"""Pages to paragraphs, as rows, and to claims, one document at a time on the executors."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.vocabulary import BOILERPLATE, ROLES, SECTION_ROLES
+from ..sources.shared import cut
 
-PARAGRAPH = "doc_id long, paragraph_id string, page int, paragraph_number string, section string, text string, roles array<string>, boilerplate boolean, duplicate_of string, characters int, sha256 string"
+PAGE = "units array<struct<key:string,opens:string,number:string,body:string,body_key:string>>, edges array<string>, headers int"
 CLAIM = "doc_id long, number int, text string, type string, depends_on array<int>, category string, elements array<struct<element_id:string,text:string,type:string,limitations:array<string>,sha256:string>>"
 
 
@@ -26,19 +29,72 @@ def _per_document(pages: DataFrame, build: Callable[[list[tuple[int, str]]], lis
     return pages.select("doc_id", "page", "text").groupBy("doc_id").applyInPandas(run, schema)
 
 
+def _read(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, nth, units, edges, headers): each page's logical lines. Pages of one number are told apart by `nth`, a hash of their text."""
+
+    def one(text: str | None) -> dict:
+        body, headers = T.without_page_headers(text or "")
+        return {"units": [T.unit_parts(u) for u in T.units(body)], "edges": sorted(T.edge_keys(text or "")), "headers": headers}
+
+    got = F.udf(one, PAGE, useArrow=True)(F.col("text"))
+    rows = pages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), F.xxhash64("text").alias("nth"), got.alias("p"))
+    return cut(rows.select("doc_id", "page", "nth", "p.*"), "units")
+
+
+def _lines(read: DataFrame) -> DataFrame:
+    """All logical lines with `repeated`: their key stands at the head or foot of half of three or more pages."""
+    count = read.groupBy("doc_id").agg(F.count("*").alias("_pages")).where("_pages >= 3")
+    seen = read.select("doc_id", F.explode("edges").alias("key")).groupBy("doc_id", "key").agg(F.count("*").alias("_on"))
+    often = seen.join(count, "doc_id").where(F.col("_on") >= F.greatest(F.lit(2), F.ceil(F.col("_pages") / 2)))
+    lines = read.select("doc_id", "page", "nth", F.posexplode("units").alias("at", "u")).select("doc_id", "page", "nth", "at", "u.*")
+    return lines.join(often.select("doc_id", "key", F.lit(True).alias("repeated")), ["doc_id", "key"], "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
+
+
+def _roles(text: Column, section: Column) -> Column:
+    """Roles whose words the text holds, led by that of its section; context if there is none."""
+    found = F.filter(F.array(*[F.when(text.rlike("(?U)" + p), F.lit(k)) for k, p in ROLES.items()]), lambda r: r.isNotNull())
+    own = reduce(lambda c, kv: c.when(section == kv[0], F.lit(kv[1])), SECTION_ROLES.items(), F.when(F.lit(False), F.lit("")))
+    led = F.when(own.isNotNull() & ~F.coalesce(F.array_contains(found, own), F.lit(False)), F.concat(F.array(own), found)).otherwise(found)
+    return F.when(F.size(led) > 0, led).otherwise(F.array(F.lit("context")))
+
+
+def _paragraphs(lines: DataFrame) -> DataFrame:
+    order = ["page", "nth", "at"]
+    rows = forward_fill(lines.where("not repeated"), ["doc_id"], order, F.col("opens"), "unclassified", "section").where("body <> ''")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("nth", "at"))
+    rows = rows.withColumns({"paragraph_id": F.format_string("P%04d-N%04d", "page", nth), "position": F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))})
+    body = F.col("body")
+    return first_occurrence(rows, ["doc_id"], "body_key", "paragraph_id", ["position"]).select(
+        "doc_id", "paragraph_id", "page", "position", F.col("number").alias("paragraph_number"), "section", body.alias("text"),
+        _roles(body, F.col("section")).alias("roles"), body.rlike("(?U)" + "|".join(BOILERPLATE)).alias("boilerplate"), "duplicate_of",
+        F.length(body).alias("characters"), F.sha2(body, 256).alias("sha256"),
+    )
+
+
 def structured_paragraphs(pages: DataFrame) -> DataFrame:
-    return _per_document(pages, lambda p: T.paragraphs(p)[0], PARAGRAPH)
+    """Paragraphs of pages (doc_id, page, text); sections and duplicates run across a document's pages.
+
+    Python sees one page at a time. What runs along a document is a sorted window, which spills, whatever its length.
+    A null text is an empty page; pages of one number are taken in the order of a hash of their texts.
+    """
+    return _paragraphs(_lines(_read(pages)))
 
 
 def structured_claims(pages: DataFrame) -> DataFrame:
     return _per_document(pages, lambda p: T.enriched(T.claims("\n".join(t for _, t in p))[0]), CLAIM)
 
 
-def structure_statistics(paragraphs: DataFrame) -> DataFrame:
-    return paragraphs.groupBy("doc_id").agg(
-        F.count_distinct("page").alias("pages"), F.count("*").alias("paragraphs"), F.count_if(F.col("duplicate_of").isNull()).alias("unique"),
-        F.count_if(F.col("duplicate_of").isNotNull()).alias("duplicate"), F.count_if("boilerplate").alias("boilerplate"), F.sum("characters").alias("characters"),
+def structure_statistics(pages: DataFrame) -> DataFrame:
+    """One row a document: its pages, blank ones too, its paragraphs by kind, and what was removed."""
+    read = _read(pages)
+    lines = _lines(read)
+    by_page = read.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum("headers").alias("removed_page_headers"))
+    removed = lines.groupBy("doc_id").agg(F.count_if("repeated").alias("removed_repeated"))
+    counts = _paragraphs(lines).groupBy("doc_id").agg(
+        F.count("*").alias("paragraphs"), F.count_if(F.col("duplicate_of").isNull()).alias("unique"), F.count_if(F.col("duplicate_of").isNotNull()).alias("duplicate"),
+        F.count_if("boilerplate").alias("boilerplate"), F.sum("characters").alias("characters"),
     )
+    return by_page.join(removed, "doc_id", "left").join(counts, "doc_id", "left").fillna(0)
 
 
 def claim_statistics(claims: DataFrame) -> DataFrame:

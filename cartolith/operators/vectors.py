@@ -112,29 +112,23 @@ def agglomerate(keys: list[str], x: np.ndarray, k: int | None = None) -> dict[st
 
 
 def mini_batch(keys: list[str], x: np.ndarray, k: int | None = None, epochs: int = 8) -> dict[str, int]:
-    """Spherical mini-batch k-means with a fixed seed over keys in the given order."""
+    """Spherical mini-batch k-means with a fixed seed: batches in the order of the keys, centres as running means, all normalised after a batch."""
     n = len(keys)
     k = cluster_count(n, k)
     x = np.asarray(x, dtype=np.float32)
-    length = np.linalg.norm(x, axis=1, keepdims=True)
-    x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
-    rng = np.random.default_rng(0)
-    centres = x[np.sort(rng.choice(n, k, replace=False))].copy()
-    seen = np.zeros(k, dtype=np.int64)
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.float32(1e-12))
+    centres = x[np.sort(np.random.default_rng(0).choice(n, k, replace=False))]
+    held = np.zeros((k, 1), dtype=np.int64)
     batch = min(1024, max(128, n // k))
-    for _ in range(epochs):
-        order = rng.permutation(n)
-        for at in range(0, n, batch):
-            rows = x[order[at : at + batch]]
-            nearest = (rows @ centres.T).argmax(1)
-            for c in np.unique(nearest):
-                mine = rows[nearest == c]
-                seen[c] += len(mine)
-                moved = centres[c] + (mine.mean(0) - centres[c]) * (len(mine) / seen[c])
-                size = np.linalg.norm(moved)
-                centres[c] = moved / size if size > 0 else moved
-    label = (x @ centres.T).argmax(1)
-    return dict(zip(keys, label.tolist()))
+    for at in list(range(0, n, batch)) * epochs:
+        rows = x[at : at + batch]
+        member = (rows @ centres.T).argmax(1)[None, :] == np.arange(k)[:, None]
+        new = member.sum(1, keepdims=True)
+        mean = (centres * held + member.astype(np.float32) @ rows) / np.maximum(held + new, 1)
+        centres = np.where(new > 0, mean, centres).astype(np.float32)
+        held += new
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), np.float32(1e-12))
+    return dict(zip(keys, (x @ centres.T).argmax(1).tolist()))
 
 
 def clusters(vectors: DataFrame, id_col: str, vector_col: str, k: int | None = None) -> DataFrame:

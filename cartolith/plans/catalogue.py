@@ -325,8 +325,8 @@ def paragraph_units(spark, d):
 @query()
 def evidence_pack(spark, d):
     pages = read(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), "text")
-    packs = evidence.evidence_packs(structure.structured_paragraphs(pages), structure.structured_claims(pages), "制御装置と処理方法")
-    return packs.select("doc_id", "task", "maximum", F.length("rendered_text").alias("characters"), F.size("sources").alias("sources"), "candidates", "near_duplicates")
+    packs = evidence.evidence_packs(structure.structured_paragraphs(pages), structure.structured_claims(pages), "制御装置と処理方法", pages)
+    return packs.select("doc_id", "task", "maximum", F.length("rendered_text").alias("characters"), F.sha2("rendered_text", 256).alias("text_sha256"), F.size("sources").alias("sources"), "candidates", "near_duplicates")
 
 
 CENTROID = "u AS (SELECT label, unnest(embedding::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS x, unnest(range(len(embedding)))::INTEGER AS dim FROM embeddings), m AS (SELECT label, dim, avg(x) AS m FROM u GROUP BY 1, 2), c AS (SELECT label, dim, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS value FROM m)"
