@@ -81,7 +81,7 @@ def test_evidence_packs(spark):
     assert set(packs) == {"similarity", "concept_level", "problem_summary", "technology_summary"}
     assert "制御部" in packs["similarity"]["rendered_text"] and all(len(p["rendered_text"]) <= p["maximum"] for p in packs.values())
     assert packs["concept_level"]["rendered_text"].startswith("## 独立請求項\n【請求項1】\n[C1-E1 ") and packs["concept_level"]["sources"][0]["element_ids"] == ["C1-E1", "C1-E2", "C1-E3"]
-    assert packs["problem_summary"]["rendered_text"] == "" and packs["similarity"]["near_duplicates"] == 0
+    assert packs["problem_summary"]["rendered_text"] == "" and packs["similarity"]["near_duplicates"] == 1
     texts = spark.createDataFrame([(1, "予備の文。"), (2, "あ" * 7000 + "。" + "い" * 9000), (3, None)], "doc_id long, text string")
     more = {(r["doc_id"], r["task"]): r["rendered_text"] for r in evidence.evidence_packs(structure.structured_paragraphs(pages), structure.structured_claims(pages), "", texts).collect()}
     assert more[1, "problem_summary"] == "予備の文。" and more[2, "similarity"] == "あ" * 7000 + "。" and more[3, "concept_level"] == "" and len(more) == 12
