@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,8 +98,8 @@ def trend_organizations(tables: Tables, where: DocumentFilter, most: int = 10) -
 
 
 def trend_year_basis(tables: Tables, where: DocumentFilter, as_of_year: int) -> DataFrame:
-    """Counts by year source, whether application dates are the only one, and whether a year is still provisional."""
-    docs = where.without_years().apply(tables).where(ready())
+    """Counts of dated documents by year source, whether application dates are the only one, and whether a year is still provisional."""
+    docs = where.without_years().apply(tables).where(ready() & F.col("year").isNotNull())
     source = F.coalesce(F.nullif(F.col("year_source"), F.lit("")), F.lit("unknown"))
     by = docs.groupBy(source.alias("year_source")).agg(F.count("*").alias("count"), F.count_if(F.col("year") >= as_of_year - 1).alias("_late"))
     everything = Window.partitionBy(F.lit(0))
@@ -108,3 +110,51 @@ def trend_year_basis(tables: Tables, where: DocumentFilter, as_of_year: int) ->
         F.when(only, "application_year").otherwise("mixed_available_year").alias("year_basis"),
         (F.sum("_late").over(everything) > 0).alias("provisional"),
     )
+
+
+def cell_of(where: DocumentFilter, kind: str) -> DocumentFilter:
+    """The filter with the coordinates of one kind of cell alone; both must be given."""
+    axes = {"threat": ("similarity", "concept_level"), "technology": ("tech_cluster_id", "problem_cluster_id")}
+    if kind not in axes:
+        raise ValueError(f"kind must be one of {', '.join(axes)}")
+    if any(getattr(where, a) is None for a in axes[kind]):
+        raise ValueError(f"a trend of kind {kind} takes {' and '.join(axes[kind])}")
+    return replace(where.without_cell(), **{a: getattr(where, a) for a in axes[kind]})
+
+
+def cell_summary(tables: Tables, where: DocumentFilter, as_of_year: int) -> DataFrame:
+    """One row: all of the cell's documents, those within the filter's years, dated ones, peak, recent and previous three
+    axis years, direction, and whether a year is still provisional. An empty cell is unobserved, with counts of 0."""
+    scope = tables.documents if where.research_id is None else tables.documents.where(F.col("research_id") == where.research_id)
+    inside = F.coalesce(DocumentFilter(year_from=where.year_from, year_to=where.year_to).condition(()), F.lit(False))
+    docs = where.without_years().apply(tables).where(ready())
+    by = docs.groupBy("year").agg(F.count("*").alias("n"), F.count_if(inside).alias("s"))
+    last, n, dated = F.col("year_max"), F.col("n"), F.col("year").isNotNull()
+    total = lambda test, of=n: F.coalesce(F.sum(F.when(test, of)), F.lit(0))
+    # rows are years, bounds one row: a bounded broadcast
+    out = by.crossJoin(F.broadcast(year_bounds(scope))).agg(
+        total(F.lit(True)).alias("total"),
+        total(F.lit(True), F.col("s")).alias("selected_count"),
+        total(dated).alias("dated_total"),
+        total(~dated).alias("undated"),
+        F.max_by("year", F.when(dated, F.struct("n", (-F.col("year")).alias("y")))).alias("peak_year"),
+        F.coalesce(F.max(F.when(dated, n)), F.lit(0)).alias("peak_count"),
+        total(F.col("year").between(last - 2, last)).alias("recent_three_years"),
+        total(F.col("year").between(last - 5, last - 3)).alias("previous_three_years"),
+        F.coalesce(F.max("year") >= as_of_year - 1, F.lit(False)).alias("provisional"),
+        F.min("year").alias("_first"),
+        F.max("year_max").alias("_last"),
+    )
+    label = direction(F.col("total"), F.col("dated_total"), F.col("_first"), F.col("_last"), F.col("recent_three_years"), F.col("previous_three_years"))
+    return out.withColumn("direction", label).drop("_first", "_last")
+
+
+def trend_report(tables: Tables, where: DocumentFilter, kind: str, as_of_year: int) -> dict[str, DataFrame]:
+    """The parts of a cell's trend, each lazy: series, summary, year basis and the leading organizations within the filter's years."""
+    cell = cell_of(where, kind)
+    return {
+        "series": cell_trend(tables, cell),
+        "summary": cell_summary(tables, cell, as_of_year),
+        "year_basis": trend_year_basis(tables, cell, as_of_year),
+        "organizations": trend_organizations(tables, cell),
+    }

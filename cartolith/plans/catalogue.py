@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence, facets, grid, grounding, lifecycle, registry, structure, trend, vectors
+from ..functions import numbers as N
+from ..operators import assembly, evidence, facets, grid, grounding, lifecycle, materials, registry, structure, trend, vectors
 from ..operators.model import DocumentFilter
 from ..sources import patent_list
 from ..streaming.ingest import keep_latest, windowed_counts
@@ -193,7 +194,7 @@ def trend_organizations(spark, d):
     return trend.trend_organizations(binding.tables(spark, d), DocumentFilter(year_from=1996, year_to=2000, similarity=4, concept_level=5))
 
 
-@query(f", g AS (SELECT year_source, count(*) AS count, count(*) FILTER (WHERE year >= 2000) AS late FROM docs WHERE state = 'ready' AND {IN_CELL} GROUP BY 1) SELECT year_source, count, CASE WHEN (SELECT count(*) FROM g) = 1 AND year_source = 'application_date' THEN 'application_year' ELSE 'mixed_available_year' END AS year_basis, (SELECT sum(late) FROM g) > 0 AS provisional FROM g")
+@query(f", g AS (SELECT year_source, count(*) AS count, count(*) FILTER (WHERE year >= 2000) AS late FROM docs WHERE state = 'ready' AND {IN_CELL} AND year IS NOT NULL GROUP BY 1) SELECT year_source, count, CASE WHEN (SELECT count(*) FROM g) = 1 AND year_source = 'application_date' THEN 'application_year' ELSE 'mixed_available_year' END AS year_basis, (SELECT sum(late) FROM g) > 0 AS provisional FROM g")
 def trend_year_basis(spark, d):
     return trend.trend_year_basis(binding.tables(spark, d), CELL, as_of_year=2001)
 
@@ -465,3 +466,158 @@ def structure_tallies(spark, d):
 def open_work(spark, d):
     docs = binding.documents(spark, d).withColumn("skip_reason", F.lit(None).cast("string"))
     return registry.open_work(docs, docs.where("patent_id % 3 = 0"), ["patent_id"]).select("patent_id")
+
+
+@query(f""", c AS (SELECT * FROM docs WHERE state = 'ready' AND {IN_CELL}), n AS (SELECT year, count(*) AS n FROM c WHERE year IS NOT NULL GROUP BY 1),
+l AS (SELECT max(year) AS last FROM docs), t AS (SELECT (SELECT count(*) FROM c) AS total, (SELECT count(*) FROM c WHERE year BETWEEN 1996 AND 2000) AS selected_count,
+  coalesce(sum(n), 0)::BIGINT AS dated_total, arg_max(year, n * 10000 - year) AS peak_year, coalesce(max(n), 0) AS peak_count, coalesce(sum(n) FILTER (WHERE year > last - 3), 0)::BIGINT AS recent_three_years,
+  coalesce(sum(n) FILTER (WHERE year BETWEEN last - 5 AND last - 3), 0)::BIGINT AS previous_three_years, coalesce(max(year) >= 2000, false) AS provisional, min(year) AS f, max(last) AS l FROM l LEFT JOIN n ON true)
+SELECT * EXCLUDE (f, l), total - dated_total AS undated, CASE WHEN total = 0 THEN 'unobserved' WHEN dated_total = 0 THEN 'undated' WHEN dated_total < 3 THEN 'sparse' WHEN f >= l - 2 AND previous_three_years = 0 THEN 'emerging'
+  WHEN recent_three_years >= 1.25 * previous_three_years AND recent_three_years - previous_three_years >= 2 THEN 'growing' WHEN previous_three_years >= 3 AND recent_three_years <= 0.75 * previous_three_years THEN 'declining' ELSE 'stable' END AS direction FROM t""")
+def trend_summary(spark, d):
+    from dataclasses import replace
+
+    return trend.trend_report(binding.tables(spark, d), replace(CELL, year_from=1996, year_to=2000), "threat", 2001)["summary"]
+
+
+#: Numbers of documents made from an order's key: as written, with full-width digits and other hyphens, and as normalised.
+_MADE = ("WO{y}/{n}", "特開{y}-{n}", "特許第{n}号", "特開平{h}-{n}", "JPB{n}", "資料{y}")
+_MADE_SQL = "CASE o_orderkey % 6 " + " ".join("WHEN {} THEN '{}'".format(i, m.replace("{y}", "' || year(o_orderdate) || '").replace("{n}", "' || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') || '").replace("{h}", "' || (o_orderkey % 40) || '")) for i, m in enumerate(_MADE)) + " END"
+
+
+def _numbers(spark, d):
+    part = {"{y}": F.year("o_orderdate").cast("string"), "{n}": F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"), "{h}": (F.col("o_orderkey") % 40).cast("string")}
+    number = F.lit(None).cast("string")
+    for i, m in enumerate(_MADE):
+        made = F.lit(m)
+        for k, v in part.items():
+            made = F.replace(made, F.lit(k), v)
+        number = F.when(F.col("o_orderkey") % 6 == i, made).otherwise(number)
+    written = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit(" "), F.translate(number, "0123456789-", "０１２３４５６７８９ー"))).otherwise(number)
+    return read(spark, d, "orders").select("o_orderkey", "o_orderdate", N.publication_number(written).alias("number"))
+
+
+@query(
+    f"""WITH o AS (SELECT o_orderkey, o_orderdate, o_orderkey % 6 AS k, {_MADE_SQL} AS number, o_orderkey % 40 AS h, (o_orderkey % 1000000)::VARCHAR AS n, year(o_orderdate) AS y FROM orders)
+SELECT o_orderkey, number, CASE k WHEN 0 THEN 'WO:' || y || ':' || n WHEN 1 THEN 'JP_A:' || y || ':' || n WHEN 2 THEN 'JP_B:' || n WHEN 3 THEN 'JP_A_H:' || h || ':' || n END AS match_key,
+  CASE k WHEN 0 THEN y WHEN 1 THEN y WHEN 3 THEN CASE WHEN h BETWEEN 1 AND 31 THEN h + 1988 END WHEN 5 THEN y END::INTEGER AS inferred_year,
+  CASE WHEN k IN (2, 4) THEN 'registered' WHEN k IN (0, 1, 3) THEN 'published' ELSE 'unknown' END AS inferred_status, CASE WHEN o_orderkey % 3 = 0 THEN y END::INTEGER AS application_year FROM o""",
+    bound=False,
+)
+def document_numbers(spark, d):
+    rows = _numbers(spark, d)
+    number = F.col("number")
+    date = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy.MM.dd")).otherwise(F.date_format("o_orderdate", "yy/MM/dd"))
+    return rows.select(
+        "o_orderkey", "number", N.match_key(number).alias("match_key"), N.infer_year(number).alias("inferred_year"), N.infer_status(number).alias("inferred_status"), N.application_year(date).alias("application_year")
+    )
+
+
+@query("WITH l AS (SELECT l_orderkey, 'WO' || l_partkey AS a, 'JP' || l_suppkey AS b, strftime(l_shipdate, '%Y.%m.%d') AS day, l_linenumber AS n FROM lineitem) SELECT l_orderkey, n, number, CASE WHEN place = 0 OR n % 2 = 0 THEN replace(day, '.', '-') END AS date, CASE WHEN place = 0 THEN 'wo' ELSE 'domestic' END AS kind FROM (SELECT *, unnest([a, b]) AS number, unnest([0, 1]) AS place FROM l)", bound=False)
+def publication_lists(spark, d):
+    day = F.date_format("l_shipdate", "yyyy.MM.dd")
+    numbers = F.concat(F.lit(" WO"), "l_partkey", F.lit(", ,JP"), "l_suppkey")
+    rows = read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), F.explode(N.publications(numbers, F.when(F.col("l_linenumber") % 2 == 0, F.concat(day, F.lit(","), day)).otherwise(day))).alias("p"))
+    return rows.select("l_orderkey", "n", "p.number", "p.date", "p.kind")
+
+
+@query("WITH m AS (SELECT o_orderkey, (SELECT count(*) FROM (SELECT DISTINCT pr, key FROM (VALUES (0, o_orderkey % 2000), (1, o_custkey % 2000)) v(pr, key)) JOIN part ON p_partkey = key) AS n FROM orders) SELECT count(*) AS rows, count(*) FILTER (WHERE n > 0) AS matched_pdfs, count(*) FILTER (WHERE n = 0) AS missing_pdfs, count(*) FILTER (WHERE n > 1) AS multiple_candidates FROM m", bound=False)
+def list_match_audit(spark, d):
+    return assembly.match_audit(number_match_priority(spark, d))
+
+
+@query("SELECT vec_id AS patent_id, position, len(embedding)::INTEGER AS dimensions, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings JOIN docs ON patent_id = vec_id WHERE state <> 'skipped'")
+def embedding_scan(spark, d):
+    rows = read(spark, d, "embeddings").withColumnRenamed("vec_id", "patent_id")
+    got = materials.vector_scan(rows, binding.documents(spark, d), ["patent_id"], "embedding")
+    return got.select("patent_id", "position", "dimensions", F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
+
+
+@query("SELECT vec_id, 4 * len(embedding) AS bytes, true AS same FROM embeddings", bound=False)
+def vector_blobs(spark, d):
+    v = F.col("embedding").cast("array<float>")
+    rows = read(spark, d, "embeddings").select("vec_id", v.alias("v"), materials.encode_vector(v).alias("blob"))
+    return rows.select("vec_id", F.length("blob").cast("long").alias("bytes"), (materials.decode_vector(F.col("blob")) == F.col("v")).alias("same"))
+
+
+STAGES = ("document_structure", "threat_score", "summaries", "analysis_complete")
+_STAGED = ", staged AS (SELECT patent_id, 'document_structure' AS artifact_type FROM docs WHERE patent_id % 2 = 0 UNION ALL SELECT patent_id, 'threat_score' FROM docs WHERE patent_id % 3 = 0 UNION ALL SELECT patent_id, 'summaries' FROM docs WHERE patent_id % 4 = 0 UNION ALL SELECT patent_id, 'analysis_complete' FROM docs WHERE patent_id % 5 = 0)"
+
+
+def _staged(docs):
+    kinds = F.array_compact(F.array(*[F.when(F.col("patent_id") % (i + 2) == 0, k) for i, k in enumerate(STAGES)]))
+    rows = docs.select("patent_id", F.explode(kinds).alias("artifact_type"))
+    return rows.withColumn("run_id", F.when(F.col("patent_id") % 7 == 0, "r1").otherwise("")).withColumn("payload", F.concat("artifact_type", F.lit(":"), "patent_id"))
+
+
+@query("SELECT patent_id, position, 'threat_score:' || patent_id AS threat_score, 'summaries:' || patent_id AS summaries FROM docs JOIN embeddings ON vec_id = patent_id WHERE state <> 'skipped' AND patent_id % 12 = 0 AND patent_id % 7 <> 0")
+def analysis_materials(spark, d):
+    docs = binding.documents(spark, d)
+    return materials.analysis_materials(docs, read(spark, d, "embeddings").select(F.col("vec_id").alias("patent_id")), _staged(docs), ["patent_id"])
+
+
+@query(_STAGED + """, r AS (SELECT *, patent_id % 13 = 0 AS again FROM docs), p AS (SELECT count(*) AS total, count(*) FILTER (WHERE pdf_available) AS available, count(*) FILTER (WHERE NOT again AND state = 'ready') AS finalized,
+  count(*) FILTER (WHERE CASE WHEN again THEN state IN ('ready', 'invalid', 'skipped') ELSE state = 'pending' END) AS pending, count(*) FILTER (WHERE NOT again AND state = 'skipped') AS skipped, count(*) FILTER (WHERE CASE WHEN again THEN state IN ('ready', 'pending', 'skipped') ELSE state = 'invalid' END) AS failed FROM r)
+SELECT p.*, (SELECT count(DISTINCT patent_id) FROM staged WHERE artifact_type = 'document_structure') AS prepared,
+  (SELECT count(*) FROM (SELECT patent_id FROM staged WHERE artifact_type IN ('threat_score', 'summaries') AND patent_id % 13 <> 0 GROUP BY 1 HAVING count(*) = 2)) AS analyzed,
+  greatest(0, pending - (SELECT count(*) FROM staged JOIN docs USING (patent_id) WHERE artifact_type = 'analysis_complete' AND state = 'pending')) AS llm_pending FROM p""")
+def stage_counts(spark, d):
+    docs = binding.documents(spark, d)
+    return materials.stage_counts(docs, _staged(docs), docs.where("patent_id % 13 = 0").select("patent_id"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE patent_id % 2 = 0) AS prepared, count(*) FILTER (WHERE patent_id % 12 = 0 AND patent_id % 11 <> 0) AS analyzed, count(*) FILTER (WHERE state = 'ready') AS finalized, count(*) FILTER (WHERE state = 'pending') AS pending, count(*) FILTER (WHERE state = 'pending' AND patent_id % 5 <> 0) AS llm_pending, count(*) FILTER (WHERE state = 'skipped') AS skipped, count(*) FILTER (WHERE state <> 'skipped' AND patent_id % 11 = 0) AS failed FROM docs")
+def overview_counts(spark, d):
+    docs = binding.documents(spark, d)
+    return assembly.overview_counts(registry.stage_flags(docs, _staged(docs), list(STAGES)), docs.where("patent_id % 11 = 0"))
+
+
+@query("SELECT 'orders' AS name, count(*) AS rows FROM orders UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'documents', count(*) FROM documents", bound=False)
+def table_statistics(spark, d):
+    return materials.table_statistics({name: read(spark, d, name) for name in ("orders", "embeddings", "documents")})
+
+
+@query("SELECT research_id, count(*) AS documents, sha256(string_agg(coalesce(title, '') || chr(10), '' ORDER BY position)) AS fingerprint FROM docs GROUP BY 1")
+def selection_fingerprint(spark, d):
+    return materials.ordered_fingerprint(binding.documents(spark, d), "research_id", ["position"], "title")
+
+
+@query("SELECT (SELECT count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)) = 0 AND (SELECT count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE l_orderkey = o_orderkey)) = 0 AS same", bound=False)
+def same_document_keys(spark, d):
+    return materials.same_keys(read(spark, d, "orders").select(F.col("o_orderkey").alias("k")), read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")), "k")
+
+
+@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'not_json' WHEN 1 THEN 'similarity' WHEN 2 THEN 'similarity' WHEN 3 THEN 'concept_level' WHEN 4 THEN 'similarity_reason' WHEN 5 THEN 'concept_level_reason' END AS problem FROM events", bound=False)
+def score_validation(spark, d):
+    bodies = ("{", '{"similarity":true}', '{"similarity":6}', '{"similarity":5,"concept_level":"3"}', '{"similarity":1,"concept_level":3,"similarity_reason":" "}', '{"similarity":1,"concept_level":3,"similarity_reason":"a","concept_level_reason":7}', '{"similarity":1,"concept_level":5,"similarity_reason":"a","concept_level_reason":"b"}')
+    body = F.get(F.array(*[F.lit(b) for b in bodies]), (F.col("event_id") % 7).cast("int"))
+    return read(spark, d, "events").select("event_id", materials.score_problem(body).alias("problem"))
+
+
+@query("WITH e AS (SELECT event_id, ts, user_id, CASE WHEN event_id % 9 <> 0 THEN user_id || ':' || event_type END AS k FROM events), s AS (SELECT k FROM e WHERE event_id % 4 = 0 AND k IS NOT NULL), n AS (SELECT * FROM e WHERE event_id % 4 <> 0) SELECT k AS idempotency_key, min(ts)::VARCHAR AS at FROM n WHERE k IS NOT NULL AND k NOT IN (SELECT k FROM s) GROUP BY 1 UNION ALL SELECT NULL, ts::VARCHAR FROM n WHERE k IS NULL", bound=False)
+def audit_append(spark, d):
+    key = F.when(F.col("event_id") % 9 != 0, F.concat("user_id", F.lit(":"), "event_type"))
+    rows = read(spark, d, "events").select("event_id", F.col("ts").alias("at"), F.col("event_type").alias("action"), key.alias("idempotency_key"))
+    got = materials.appended_audit(rows.where("event_id % 4 = 0"), rows.where("event_id % 4 <> 0"))
+    return got.select("idempotency_key", F.col("at").cast("string").alias("at"))
+
+
+@query(f", t AS (SELECT s.s::INTEGER AS similarity, c.c::INTEGER AS concept_level, count(patent_id) AS count FROM generate_series(1, 5) s(s) CROSS JOIN generate_series(1, 5) c(c) LEFT JOIN docs ON similarity = s.s AND concept_level = c.c AND state = 'ready' AND {IN_NARROW} GROUP BY ALL) SELECT similarity, concept_level, round(CASE WHEN count = 0 THEN 0.04 ELSE 0.18 + 0.65 * count / (SELECT max(count) FROM t) END, 6)::DOUBLE AS alpha FROM t")
+def cell_density(spark, d):
+    cells = materials.cell_density(facets.threat_grid(NARROW.apply(binding.tables(spark, d))))
+    return cells.select("similarity", "concept_level", F.round("alpha", 6).alias("alpha"))
+
+
+@query(f", g AS (SELECT organization_id % 10 AS group_id, count(*)::BIGINT AS count FROM {LINKED} GROUP BY 1) SELECT group_id, count, floor(count * 100 / (SELECT count(*) FROM docs) + 0.5)::BIGINT AS percent, row_number() OVER (ORDER BY count DESC, group_id)::INTEGER AS rank FROM g")
+def group_ranking_numbers(spark, d):
+    t = binding.tables(spark, d)
+    rows = facets.group_ranking(SELECTED.apply(t), t, binding.groups(spark, d)).crossJoin(F.broadcast(t.documents.agg(F.count("*").alias("_all"))))
+    return materials.ranked(rows.withColumn("percent", materials.percent(F.col("count"), F.col("_all"))).drop("_all"), "count", "group_id")
+
+
+@query("WITH r AS (SELECT o_orderkey, o_custkey % 9 AS research_id, ['list', 'manifest', 'legacy'][o_orderkey % 3 + 1] AS kind FROM orders), f AS (SELECT DISTINCT research_id, kind FROM r WHERE NOT (research_id % 3 = 0 AND kind = 'list') AND NOT (research_id % 2 = 0 AND kind = 'manifest')), c AS (SELECT research_id, arg_min(kind, list_position(['list', 'manifest', 'legacy'], kind)) AS kind FROM f GROUP BY 1) SELECT o_orderkey, research_id, kind FROM r SEMI JOIN c USING (research_id, kind)", bound=False)
+def source_precedence(spark, d):
+    kind = F.get(F.array(*[F.lit(k) for k in assembly.PRECEDENCE]), (F.col("o_orderkey") % 3).cast("int"))
+    rows = read(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 9).alias("research_id"), kind.alias("kind"))
+    files = rows.select("research_id", "kind").distinct().where("not (research_id % 3 = 0 and kind = 'list') and not (research_id % 2 = 0 and kind = 'manifest')")
+    return assembly.rows_by_precedence(rows, files).select("o_orderkey", "research_id", "kind")
