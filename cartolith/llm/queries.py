@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, lm_score, mixing, near_dedup, neighbours, packing, quality, sharding, toxicity
+from . import chat_format, codebooks, exact_dedup, html_text, lm_score, mixing, near_dedup, neighbours, packing, quality, sharding, target_sampling, toxicity
 from .common import SPACE_CLASS, table
 
 TOKENIZER_FILE = packing.TOKENIZER
@@ -70,6 +70,36 @@ def op10_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_sort_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_sort_count_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_sampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_delta_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = codebooks.coded(table(spark, sf_dir, "embeddings"))
+    out = codebooks.with_label_error(codes).withColumn("codebooks_sha256", F.lit(codebooks.digest(books)))
+    return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+#: A conversation that is formatted with every table: both of its texts hold control strings.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op13_reply_tree_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    read = chat_format.read_back(chat_format.formatted(chat_format.reply_paths(chat_format.chained(rows))))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    trained = F.array_join("trained", "")
+    return read.select(
+        F.col("conv").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length(trained).cast("long").alias("loss_chars"),
+        F.sha2(trained, 256).alias("loss_sha256"),
+        F.length("chat").cast("long").alias("formatted_chars"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +109,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_order_minhash_near_dedup, op2_rake_mixing, op3_stupid_backoff, op4_permutation_neighbours, op5_label_propagation_shards,
-        op6_importance_resampling, op7_toxic_segments, op8_nnls_packing, op9_html_main_text, op10_content_sort_dedup, pipeline,
+        op6_importance_resampling, op7_toxic_segments, op8_nnls_packing, op9_html_main_text, op10_content_sort_dedup,
+        op11_sort_count_resampling, op12_delta_lloyd_codes, op13_reply_tree_chats, pipeline,
     )
     return {f.__name__: f for f in own}
 
@@ -118,8 +149,77 @@ FROM docs d JOIN w ON d.source IS NOT DISTINCT FROM w.source AND d.lang IS NOT D
     )
 
 
+def _sort_count_sql() -> str:
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    upper, size = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", target_sampling.BUCKETS
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{word}')"
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""
+WITH RECURSIVE bits AS (SELECT range AS b, range::BIGINT AS c, 0 AS k FROM range(256) UNION ALL SELECT b, {step}, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+said AS MATERIALIZED (SELECT r, unnest(w) AS w FROM docs),
+aim AS MATERIALIZED (SELECT unnest({words}) AS w FROM benchmark),
+vocabulary AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM said UNION SELECT w FROM aim)),
+hashed AS MATERIALIZED (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+  lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % {size} AS b FROM vocabulary, tab),
+s AS (SELECT b, count(*) AS n FROM said JOIN hashed USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM aim JOIN hashed USING (w) GROUP BY b),
+gain AS (SELECT b, floor(1000 * ln((coalesce(t.n, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM s)::DOUBLE + {size})
+  / ((s.n::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM t)::DOUBLE + {size}))))::BIGINT AS g FROM s LEFT JOIN t USING (b)),
+summed AS (SELECT r, sum(g)::BIGINT AS weight FROM said JOIN hashed USING (w) JOIN gain USING (b) GROUP BY r),
+scored AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+  + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score
+  FROM docs LEFT JOIN summed USING (r)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM placed"""
+
+
+def _lloyd_sql(parts: int = codebooks.PARTS, entries: int = codebooks.ENTRIES, rounds: int = codebooks.ROUNDS) -> str:
+    ctes = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor({codebooks.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS v FROM kept, range({parts}) t(p)),
+c0 AS (SELECT p, r - 1 AS e, v FROM parts WHERE r <= {entries})"""
+    ]
+    far = "list_sum(list_transform(list_zip(a.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    for k in range(rounds + 1):
+        ctes.append(f"a{k} AS MATERIALIZED (SELECT r, p, a.v, min(struct_pack(d := {far}, e := c.e)) AS best FROM parts a JOIN c{k} c USING (p) GROUP BY r, p, a.v)")
+        if k < rounds:
+            ctes.append(
+                f"n{k} AS (SELECT p, e, list(x ORDER BY j) AS v FROM (SELECT p, e, j, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM (SELECT p, best.e AS e, unnest(v) AS x, unnest(range(len(v))) AS j FROM a{k}) GROUP BY p, e, j) GROUP BY p, e), "
+                f"c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(n.v, c.v) AS v FROM c{k} c LEFT JOIN n{k} n USING (p, e))"
+            )
+    return (
+        "WITH " + ",\n".join(ctes) + f""",
+coded AS (SELECT r, string_agg(lower(lpad(to_hex(best.e), 2, '0')), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, j)) FROM (SELECT p, e, unnest(v) AS x, unnest(range(len(v))) AS j FROM c{rounds})) AS codebooks_sha256
+FROM kept JOIN coded USING (r)"""
+    )
+
+
+def _chat_sql() -> str:
+    def out(x: str) -> str:
+        return f"regexp_replace({x}, '{chat_format.ESCAPE}', '\\1\\4\\\\\\2\\5\\3\\6', 'g')"
+
+    role = out("replace(replace(role, '\\', '\\\\'), chr(10), '\\n')")
+    order = "ORDER BY turn NULLS LAST, role, text"
+    return f"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM
+  (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{PROBE}'), (-7, 1, 'assistant', '{PROBE}'))))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({len(chat_format.START) + len(chat_format.END) + 2} + length({role}) + length({out("text")}))::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_sort_count_resampling": _sort_count_sql(),
+        "op12_delta_lloyd_codes": _lloyd_sql(),
+        "op13_reply_tree_chats": _chat_sql(),
         "op2_rake_mixing": _rake_sql(),
         "op10_content_sort_dedup": f"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{SPACE_CLASS}', '', 'g') AS norm, length(coalesce(text, '')) AS cp FROM documents)
