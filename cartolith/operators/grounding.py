@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Callable, Iterator
 
@@ -64,22 +63,6 @@ def narrowed(schema: dict, field: str, ids: list[str]) -> dict:
     return out
 
 
-def verified(cited: DataFrame, allowed: DataFrame, keys: list[str]) -> DataFrame:
-    """Cited ids (keys + cited array) with what of them the input holds (keys + allowed array), in cited order, and a reason."""
-    known = F.coalesce("allowed", F.array().cast("array<string>"))
-    rows = cited.join(allowed, keys, "left").withColumn("verified", F.filter(F.array_distinct("cited"), lambda c: F.array_contains(known, c))).withColumn("rejected", F.array_except("cited", known))
-    reason = F.when(F.size("cited") == 0, "nothing_cited").when(F.size("verified") == 0, "no_known_id").when(F.size("rejected") > 0, "some_unknown")
-    return rows.withColumn("reason", reason).drop("allowed")
-
-
-def verified_claim(rows: DataFrame, claims: DataFrame) -> DataFrame:
-    """Binds claim_number to an independent claim of the document; adds verified and the reason of a rejection."""
-    c = claims.select("doc_id", F.col("number").alias("claim_number"), F.col("type").alias("_type"))
-    joined = rows.join(c, ["doc_id", "claim_number"], "left")
-    reason = F.when(F.col("claim_number").isNull(), "not_an_integer").when(F.col("_type").isNull(), "claim_not_found").when(F.col("_type") != "independent", "claim_not_independent")
-    return joined.withColumn("reason", reason).withColumn("verified", F.col("reason").isNull()).drop("_type")
-
-
 def validation_rates(checks: DataFrame) -> DataFrame:
     """Verified and invalid by task (task, verified boolean), and all together as task 'all'."""
     ok = F.count_if("verified")
@@ -87,15 +70,11 @@ def validation_rates(checks: DataFrame) -> DataFrame:
     return by.select(F.when(F.col("_all") == 1, "all").otherwise(F.col("task")).alias("task"), "verified", "invalid", F.bround(F.col("verified") / F.greatest(F.lit(1), F.col("verified") + F.col("invalid")), 6).alias("rate"))
 
 
-def fingerprint(parts: dict) -> str:
-    """Digest of canonical JSON, for caches."""
-    return hashlib.sha256(json.dumps(parts, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
-
-
 def context_window(characters: Column, output_tokens: int) -> Column:
-    """The smallest context of 4096, 8192 and 16384 tokens that holds 0.8 tokens a character, the output and 512; null beyond."""
+    """The smallest context of 4096, 8192 and 16384 tokens that holds 0.8 tokens a character, the output and 512; an error beyond."""
     need = F.ceil(characters * 0.8) + output_tokens + 512
-    return F.when(need <= 4096, 4096).when(need <= 8192, 8192).when(need <= 16384, 16384)
+    size = F.when(need <= 4096, 4096).when(need <= 8192, 8192).when(need <= 16384, 16384)
+    return size.when(need.isNotNull(), F.raise_error(F.concat(F.lit("a prompt needs more than 16384 tokens: "), need.cast("string"))))
 
 
 def generate(inputs: DataFrame, call: Callable[[str, str], dict], schema: dict) -> DataFrame:
@@ -122,22 +101,6 @@ def generate(inputs: DataFrame, call: Callable[[str, str], dict], schema: dict)
     return inputs.select("doc_id", "task", "prompt").mapInPandas(run, "doc_id long, task string, response string, error string, attempts int")
 
 
-def analyze(inputs: DataFrame, cache: DataFrame, call: Callable, schema: dict, rescue: Callable | None = None) -> DataFrame:
-    """Answers for inputs (doc_id, task, prompt, key): cached ones by key, the rest by the model, failures once more by
-    the rescue model. What fails there too has the state manual_review_required."""
-    hit = inputs.join(cache.select("key", "response"), "key").select("doc_id", "task", "response", F.lit(None).cast("string").alias("error"), F.lit("cached").alias("state"))
-    missing = inputs.join(cache.select("key"), "key", "left_anti")
-    first = generate(missing, call, schema)
-    good = first.where("error is null").select("doc_id", "task", "response", "error", F.lit("generated").alias("state"))
-    bad = first.where("error is not null")
-    if rescue is None:
-        last = bad.select("doc_id", "task", "response", "error", F.lit("failed").alias("state"))
-    else:
-        again = generate(missing.join(bad.select("doc_id", "task"), ["doc_id", "task"], "left_semi"), rescue, schema)
-        last = again.select("doc_id", "task", "response", "error", F.when(F.col("error").isNull(), "rescued").otherwise("manual_review_required").alias("state"))
-    return hit.unionByName(good).unionByName(last)
-
-
 def embed(rows: DataFrame, text_col: str, call: Callable[[list[str]], list[list[float]]]) -> DataFrame:
     """rows with `vector`, the texts sent in Arrow batches."""
 

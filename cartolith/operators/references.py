@@ -18,6 +18,8 @@ LABEL = r"\b(?:C\d+-E\d+|P\d{4}-N\d{4})\b"
 NOT_A_LIST = "evidence_ids_not_string_array"
 EMPTY = "evidence_ids_empty"
 UNKNOWN = "evidence_id_not_in_task_input"
+CLAIM_NOT_WHOLE = "claim_number_not_integer"
+CLAIM_UNKNOWN = "claim_number_not_in_scoring_input"
 
 
 def allowed_ids(packs: DataFrame) -> DataFrame:
@@ -35,21 +37,29 @@ def _plain(value: Column) -> Column:
     return F.when(label != "", label).otherwise(value)
 
 
-def checked_references(cited: DataFrame, allowed: DataFrame) -> DataFrame:
-    """cited (doc_id, task, cited array<string>, ...) with what its input (doc_id, task, allowed) holds of it.
+def checked(rows: DataFrame) -> DataFrame:
+    """rows (task, cited array<string>, allowed array<string>, ...) with what their input holds of what they cite.
 
-    Adds reported (ids in cited order, labels around them taken off), verified_ids, rejected_ids, verified and reason. A
-    null list, or one with a null in it, is no list of strings. An answer stands if it cites something and nothing unknown.
+    Adds source_type (the kind of source that the task may cite), reported_values (trimmed, as given), reported (ids in cited
+    order, labels around them taken off), verified_ids, rejected_ids, verified and reason. A null list, or one with a null in
+    it, is no list of strings. An answer stands if it cites something and nothing unknown.
     """
-    known = F.coalesce("allowed", F.array().cast("array<string>"))
-    strings = F.col("cited").isNotNull() & ~F.exists(F.coalesce("cited", F.array().cast("array<string>")), lambda v: v.isNull())
+    none = F.array().cast("array<string>")
+    known = F.coalesce("allowed", none)
+    strings = F.col("cited").isNotNull() & ~F.exists(F.coalesce("cited", none), lambda v: v.isNull())
     stripped = F.transform("cited", lambda v: F.regexp_replace(v, r"(?U)^\s+|\s+$", ""))
-    reported = F.array_distinct(F.transform(F.filter(stripped, lambda v: v != ""), _plain))
-    rows = cited.join(allowed.select("doc_id", "task", "allowed"), ["doc_id", "task"], "left")
-    rows = rows.withColumn("reported", F.when(strings, reported).otherwise(F.array().cast("array<string>")))
+    values = F.array_distinct(F.filter(stripped, lambda v: v != ""))
+    kind = F.when(F.col("task").isin(*CITE_ELEMENTS), "element").when(F.col("task").isin(*CITE_BOTH), "element_or_paragraph").otherwise("paragraph")
+    rows = rows.withColumn("source_type", kind).withColumn("reported_values", F.when(strings, values).otherwise(none))
+    rows = rows.withColumn("reported", F.array_distinct(F.transform("reported_values", _plain)))
     rows = rows.withColumn("verified_ids", F.filter("reported", lambda v: F.array_contains(known, v))).withColumn("rejected_ids", F.array_except("reported", known))
     reason = F.when(~strings, NOT_A_LIST).when(F.size("reported") == 0, EMPTY).when(F.size("rejected_ids") > 0, UNKNOWN)
-    return rows.withColumn("reason", reason).withColumn("verified", F.col("reason").isNull()).drop("allowed")
+    return rows.withColumn("reason", reason).withColumn("verified", F.col("reason").isNull())
+
+
+def checked_references(cited: DataFrame, allowed: DataFrame) -> DataFrame:
+    """cited (doc_id, task, cited array<string>, ...) as in `checked`, against its input (doc_id, task, allowed)."""
+    return checked(cited.join(allowed.select("doc_id", "task", "allowed"), ["doc_id", "task"], "left")).drop("allowed")
 
 
 def source_rows(paragraphs: DataFrame, claims: DataFrame) -> DataFrame:
@@ -74,7 +84,7 @@ def checked_claims(rows: DataFrame, claims: DataFrame) -> DataFrame:
     number = F.when(F.col("reported").rlike(r"^-?[0-9]+$"), F.col("reported").try_cast("int"))
     lead = lead_claims(claims).select("doc_id", F.col("number").alias("_n"), F.col("type").alias("claim_type"), F.trim("text").alias("claim_text"))
     joined = rows.withColumn("claim_number", number).join(lead.withColumnRenamed("doc_id", "_of"), (F.col("doc_id") == F.col("_of")) & (F.col("claim_number") == F.col("_n")), "left")
-    reason = F.when(F.col("claim_number").isNull(), "claim_number_not_integer").when(F.col("_n").isNull(), "claim_number_not_in_scoring_input")
+    reason = F.when(F.col("claim_number").isNull(), CLAIM_NOT_WHOLE).when(F.col("_n").isNull(), CLAIM_UNKNOWN)
     reason = reason.when(F.coalesce("claim_text", F.lit("")) == "", "claim_text_missing")
     return joined.withColumn("claim_sha256", F.sha2("claim_text", 256)).withColumn("reason", reason).withColumn("verified", F.col("reason").isNull()).drop("_of", "_n")
 

@@ -143,10 +143,9 @@ def test_mini_batches_match_a_plain_loop():
 def test_model_boundary(spark):
     schema = {"type": "object", "required": ["score"], "properties": {"score": {"type": "integer", "minimum": 1, "maximum": 5}}, "additionalProperties": False}
     assert grounding.schema_error({"score": True}, schema) and grounding.schema_error({"score": 9}, schema) and not grounding.schema_error({"score": 3}, schema)
-    inputs = spark.createDataFrame([(1, "t", "good", "k1"), (2, "t", "bad", "k2"), (3, "t", "x", "k3")], "doc_id long, task string, prompt string, key string")
-    cache = spark.createDataFrame([("k3", "{}")], "key string, response string")
-    out = grounding.analyze(inputs, cache, lambda t, p: {"score": 3 if p == "good" else 9}, schema, rescue=lambda t, p: {"score": 0})
-    assert {r["doc_id"]: r["state"] for r in out.collect()} == {1: "generated", 2: "manual_review_required", 3: "cached"}
+    inputs = spark.createDataFrame([(1, "t", "good"), (2, "t", "bad"), (3, "t", "x")], "doc_id long, task string, prompt string")
+    out = grounding.generate(inputs, lambda t, p: {"score": 3 if p == "good" else 9}, schema)
+    assert {r["doc_id"]: (r["error"], r["attempts"]) for r in out.collect()} == {1: (None, 1), 2: ("$.score: above maximum", 3), 3: ("$.score: above maximum", 3)}
 
 
 def test_upserts_do_not_depend_on_the_order_of_rows(spark):
