@@ -115,15 +115,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-def _rake_sql(damping: float = 0.7, rounds: int = 8) -> str:
+def _rake_sql(damping: float = 0.7, rounds: int = mixing.ROUNDS) -> str:
     dims = ("source", "lang", "topic")
     parts = [
         f"""toks AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens,
-  list_transform(regexp_extract_all(coalesce(text, ''), '{mixing.CONTENT_WORD}'), lambda x: lower(x)) AS w FROM documents),
-held AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct(w)) AS w FROM toks) GROUP BY w),
-topics AS MATERIALIZED (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS i FROM held WHERE n * {mixing.TOPICS} <= (SELECT count(*) FROM toks) ORDER BY n DESC, w LIMIT {mixing.TOPICS}),
-hits AS (SELECT r, w, i, count(*) AS n FROM (SELECT r, unnest(w) AS w FROM toks) JOIN topics USING (w) GROUP BY r, w, i),
-best AS (SELECT r, arg_max(w, n * 1000 - i) AS topic FROM hits GROUP BY r),
+  regexp_extract_all(lower(coalesce(text, '')), '{mixing.CONTENT_WORD}') AS w FROM documents),
+langs AS (SELECT lang, count(*) AS c FROM toks GROUP BY lang),
+held AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(list_distinct(w)) AS w FROM toks) GROUP BY lang, w),
+topics AS MATERIALIZED (SELECT h.lang, w, row_number() OVER (PARTITION BY h.lang ORDER BY n DESC, w) AS i FROM held h JOIN langs l ON h.lang IS NOT DISTINCT FROM l.lang
+  WHERE n * {mixing.SPREAD} <= c AND c * {mixing.LANGUAGES} >= (SELECT count(*) FROM toks) QUALIFY i <= {mixing.TOPICS}),
+hits AS (SELECT r, i, count(*) AS n FROM (SELECT r, lang, unnest(w) AS w FROM toks) x JOIN topics t ON x.w = t.w AND x.lang IS NOT DISTINCT FROM t.lang GROUP BY r, i),
+best AS (SELECT r, arg_max(i, n * 1000 - i)::INTEGER AS topic FROM hits GROUP BY r),
 docs AS MATERIALIZED (SELECT doc_id, source, lang, tokens, topic FROM toks LEFT JOIN best USING (r)),
 c0 AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens, sum(tokens)::DOUBLE AS fitted FROM docs GROUP BY ALL)"""
     ]
@@ -134,7 +136,7 @@ c0 AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens, sum(tokens)::D
     for _ in range(rounds):
         for d in dims:
             parts.append(
-                f"c{step + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN now > 0 THEN least(fitted * goal / now, tokens * {mixing.MOST_WEIGHT}) ELSE 0 END AS fitted FROM "
+                f"c{step + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN now > 0 THEN fitted * goal / now ELSE 0 END AS fitted FROM "
                 f"(SELECT c.*, sum(fitted) OVER (PARTITION BY c.{d}) AS now, g.goal FROM c{step} c JOIN g_{d} g ON c.{d} IS NOT DISTINCT FROM g.{d}))"
             )
             step += 1

@@ -105,18 +105,40 @@ def test_mixing(spark, docs, none):
     assert mixing.mix_documents(docs, ["doc_id"]).columns == ["doc_id", "_mix"]
 
 
-def test_topics_match_brute_force(spark):
+def test_topics_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SPREAD", 4)
     rng = random.Random(12)
-    names = ["alpha", "Bravo", "charlie", "delta", "echoes", "foxtrot", "golfers", "hotel", "the", "in"]
-    texts = [" ".join(rng.choice(names[: 1 + rng.randrange(10)] if i % 3 else ["zz"]) for _ in range(rng.randint(0, 12))) for i in range(400)] + [None, ""]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    held = Counter(w for t in texts for w in {w.lower() for w in (t or "").split() if len(w) >= 5})
-    words = sorted((w for w, n in held.items() if n * 4 <= len(texts)), key=lambda w: (-held[w], w))[:4]
-    assert len(words) == 4 and mixing.topic_words(df, "text", 4) == words
+    names = ["alpha", "Bravo", "charlie", "délta", "ÉCHOES", "foxtrot", "golfers", "hotel", "the", "in"]
+    rows = [(i, " ".join(rng.choice(names[: 1 + rng.randrange(10)] if i % 3 else ["zz"]) for _ in range(rng.randint(0, 12))), ("en", "de", None)[i % 7 % 3]) for i in range(500)]
+    rows += [(500, None, "en"), (501, "", "de")]
+    held = {lang: Counter(w for _, t, g in rows if g == lang for w in {w.lower() for w in (t or "").split() if len(w) >= 5}) for lang in ("en", "de", None)}
+    many = Counter(g for _, _, g in rows)
+    words = {lang: sorted((w for w, n in own.items() if n * 4 <= many[lang]), key=lambda w: (-own[w], w))[:4] for lang, own in held.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["lang"]: r["words"] for r in mixing.topic_words(df, "text", "lang", 4).collect()} == words and sum(map(len, words.values())) >= 6
     for r in mixing.with_topic(df, topics=4).collect():
         own = Counter(w.lower() for w in (r["text"] or "").split())
-        best = min((-own[w], k, w) for k, w in enumerate(words))
-        assert r["_topic"] == (best[2] if best[0] else None)
+        best = min((-own[w], k + 1) for k, w in enumerate(words[r["lang"]]))
+        assert r["_topic"] == (best[1] if best[0] else None)
+
+
+def test_raking_matches_a_plain_one(spark):
+    rng = random.Random(6)
+    cells = [(a, b, c, rng.choice([1, 3, 40, 4000])) for a in "xyz" for b in ("p", None) for c in range(5) if rng.random() < 0.8] + [("none", "p", 1, 0)]
+    got = {tuple(r[:3]): r["fitted"] for r in mixing.rake(spark.createDataFrame(cells, "a string, b string, c int, tokens long"), ["a", "b", "c"], 0.5).collect()}
+    fit, total = {k[:3]: float(k[3]) for k in cells}, sum(k[3] for k in cells)
+    share = lambda d, of: {v: sum(n for k, n in of.items() if k[d] == v) for v in {k[d] for k in of}}
+    goal = []
+    for d in range(3):
+        t = {v: n**0.5 for v, n in share(d, {k[:3]: k[3] for k in cells}).items()}
+        goal.append({v: x * total / sum(t.values()) for v, x in t.items()})
+    for _ in range(400):
+        for d in range(3):
+            now = share(d, fit)
+            fit = {k: n * goal[d][k[d]] / now[k[d]] if now[k[d]] else 0.0 for k, n in fit.items()}
+    for d in range(3):
+        assert all(abs(n / total - goal[d][v] / total) < mixing.TOLERANCE for v, n in share(d, got).items())
+    assert all(abs(got[k] - n) / total < 4 * mixing.TOLERANCE for k, n in fit.items())
 
 
 def test_backoff_matches_brute_force(spark, docs, none):
