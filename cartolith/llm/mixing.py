@@ -49,7 +49,9 @@ def with_topic(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     A topic's number stands for one word in each language, so topics are not bound to a language: each language has them
     all, and both margins can be raked.
     """
-    words = cut(topic_words(docs, text_col, lang_col, topics), "topics")
+    found = topic_words(docs, text_col, lang_col, topics).collect()  # at most LANGUAGES rows
+    words = docs.sparkSession.createDataFrame([(r["lang"], list(r["words"])) for r in found], f"lang {docs.schema[lang_col].dataType.simpleString()}, words array<string>")
+    any_ = sorted({w for r in found for w in r["words"]})
     hits, own, lang, name = (free_name(docs, n) for n in ("_topic_hits", "_topic_words", "_topic_lang", "_topic"))
     told = docs.join(F.broadcast(words.select(F.col("lang").alias(lang), F.col("words").alias(own))), docs[lang_col].eqNullSafe(F.col(lang)), "left")
 
@@ -58,7 +60,9 @@ def with_topic(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
     counts = [F.struct(count(i).alias("n"), F.lit(-i).alias("i")) for i in range(1, topics + 1)]
     best = F.greatest(*counts) if len(counts) > 1 else counts[0]
-    places = F.filter(F.transform(content_words(F.col(text_col)), lambda w: F.array_position(F.col(own), w)), lambda i: i > 0)
+    # one look into a set leaves few words; only these are looked up among their language's
+    some = F.filter(content_words(F.col(text_col)), lambda w: w.isin(any_)) if any_ else F.array().cast("array<string>")
+    places = F.filter(F.transform(some, lambda w: F.array_position(F.col(own), w)), lambda i: i > 0)
     marked = told.withColumn(hits, F.when(F.col(own).isNotNull(), places))
     return marked.withColumn(name, F.when(F.size(hits) > 0, (-best["i"]).cast("int"))).drop(hits, own, lang)
 
