@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
-from ..operators import assembly, evidence, facets, grid, grounding, lifecycle, materials, registry, structure, trend, vectors
+from ..operators import assembly, evidence, facets, finalize, grid, grounding, lifecycle, materials, registry, structure, trend, vectors
 from ..operators.model import DocumentFilter
 from ..sources import patent_list
 from ..streaming.ingest import keep_latest, windowed_counts
@@ -377,13 +377,9 @@ def minibatch_clusters(spark, d):
 
 @query()
 def semantic_order(spark, d):
-    rows = vectors.centroids(read(spark, d, "embeddings"), "label", "embedding").collect()  # a few centroids
-    by: dict = {}
-    for r in rows:
-        by.setdefault(str(r["label"]), {})[r["dim"]] = r["value"]
-    names = sorted(by)
-    order = vectors.semantic_order(names, [[by[n][k] for k in sorted(by[n])] for n in names])
-    return spark.createDataFrame([(n, i) for i, n in enumerate(order)], "label string, position int")
+    rows = read(spark, d, "embeddings")
+    placed = finalize.axis(rows, rows.select("vec_id", F.col("label").alias("cluster")), "vec_id", "embedding")
+    return placed.select(F.col("cluster").cast("string").alias("label"), "position")
 
 
 GRID = f""", cells AS (SELECT tech::VARCHAR AS tech, problem::VARCHAR AS problem, count(*) AS count FROM docs WHERE state = 'ready' AND {IN_NARROW} GROUP BY 1, 2 HAVING count(*) >= 3),

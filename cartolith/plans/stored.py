@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import canonical
-from ..operators import analysis, list_history, replacement
+from ..operators import analysis, checks, list_history, replacement
 from ..operators.model import SEARCHED
 from ..sources.shared import cut, shared_folder
 from . import binding
@@ -185,3 +185,31 @@ def stale_researches(spark, d):
     return list_history.stale_researches(list_history.stale_results(results, _spans(spark, d)))
 
 
+
+
+@query(
+    """WITH p AS (SELECT doc_id, doc_id % 7 AS a, n_chars % 6 AS b, length(trim(coalesce(text, ''))) AS n, length(coalesce(text, '')) AS whole, lang FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'keys' WHEN NOT a BETWEEN 1 AND 5 THEN 'similarity' WHEN b IS NULL OR NOT b BETWEEN 1 AND 5 THEN 'concept_level' WHEN n = 0 OR whole > 2000 THEN 'tech_summary' END AS problem FROM p""",
+    bound=False,
+)
+def analysis_validation(spark, d):
+    """Whether an analysis can be kept whose summary is a document's whole text; every eleventh lacks a key."""
+    docs = read(spark, d, "documents")
+    text = F.coalesce("text", F.lit(""))
+    fields = [(F.col("doc_id") % 7).alias("similarity"), (F.col("n_chars") % 6).alias("concept_level"), text.alias("tech_summary"), F.lit("p").alias("problem_summary"), F.lit("r").alias("reasoning"), F.lit("t").alias("tech_cluster")]
+    body = F.to_json(F.struct(*fields, F.when(F.col("doc_id") % 11 != 0, F.lit("c")).alias("problem_cluster")))
+    return docs.select("doc_id", checks.analysis_problem(body).alias("problem"))
+
+
+@query(
+    """, s AS (SELECT CASE WHEN state = 'skipped' THEN 'skipped' WHEN patent_id % 8 = 0 THEN 'missing' WHEN o.o_totalprice > 50000 THEN 'valid' ELSE 'invalid' END AS t FROM docs JOIN orders o ON patent_id = o_orderkey WHERE pdf_available),
+c AS (SELECT count(*) FILTER (t = 'valid') AS v, count(*) FILTER (t = 'missing') AS m, count(*) FILTER (t = 'invalid') AS i, count(*) FILTER (t = 'skipped') AS k FROM s)
+SELECT 'selection' AS "check", count(*) > 0 AS ok, count(*) || ' documents' AS detail FROM docs UNION ALL SELECT 'prompts', false, 'prompts 6/6, schemas 5/6' UNION ALL SELECT 'output-isolation', true, 'normal'
+UNION ALL SELECT 'model-server', true, '1 models' UNION ALL SELECT 'models', false, 'missing: qwen3-embedding:8b' UNION ALL SELECT 'claim-structure', v = v + m + i AND v > 0, 'valid ' || v || '/' || (v + m + i) || ', missing ' || m || ', invalid ' || i || ', skipped ' || k FROM c"""
+)
+def preflight_checks(spark, d):
+    """Six checks over all documents; those of an eighth have no structure, and cheap orders a structure that is not valid."""
+    docs = binding.documents(spark, d)
+    structures = read(spark, d, "orders").where("o_orderkey % 8 <> 0").select(F.col("o_orderkey").alias("patent_id"), F.lit(2).alias("schema_version"), (F.col("o_totalprice") > 50000).alias("valid"), F.lit(3).alias("claims"))
+    shape = {"type": "object", "required": ["x"]}
+    return checks.preflight(docs, structures, dict.fromkeys(checks.PROMPTED, "text"), dict.fromkeys(checks.PROMPTED[1:], shape) | {checks.PROMPTED[0]: {"type": "object"}}, ["gemma4:e4b"], ("normal", "debug"))
