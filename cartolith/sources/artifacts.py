@@ -37,7 +37,7 @@ def import_files(spark: SparkSession, root: str, research_id: str, interpretatio
     there = [p for p in places if path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(p))]
     if not there:
         return {s: _typed(spark.createDataFrame([], ROW), s) for s in SINKS}
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(there)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(there, wholetext=True)
     files = files.select("value", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"))
     name, folder = F.regexp_extract("path", r"([^/]+)\.json$", 1), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
     noted = F.lit(False) if interpretations is None else F.contains(F.col("path"), F.lit(interpretations.rstrip("/").split(":")[-1].lstrip("/") + "/"))

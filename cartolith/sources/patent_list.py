@@ -129,7 +129,7 @@ def read_legacy_manifests(spark: SparkSession, root: str) -> DataFrame:
 
 def read_artifacts(spark: SparkSession, root: str) -> DataFrame:
     """JSON files below a folder as artifact rows; the run is the folder after attempts/; malformed ones are left out."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root).withColumn("path", F.input_file_name())
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True).withColumn("path", F.input_file_name())
     typed = files.select(
         F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("artifact_type"), F.regexp_extract("path", r"attempts/([^/]+)/", 1).alias("run_id"), F.col("value").alias("payload"), F.col("path").alias("source_path")
     )

@@ -21,7 +21,7 @@ def read_researches(spark: SparkSession, root: str) -> DataFrame:
     kept, so that the caller may refuse them. All files are read in one scan.
     """
     base = root.rstrip("/")
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "{research.json,company_tech.txt}").text(base)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{research.json,company_tech.txt}").text(base, wholetext=True)
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     named = files.select("value", F.regexp_extract(path, r"([^/]+)/[^/]+/?$", 1).alias("research_id"), F.regexp_extract(path, r"([^/]+)$", 1).alias("file"), F.regexp_extract(path, r"^(.*?)/[^/]+/[^/]+$", 1).alias("_parent"))
     own = named.where(F.endswith(F.col("_parent"), F.lit(base.split(":")[-1].rstrip("/").rsplit("/", 1)[-1])))

@@ -104,7 +104,7 @@ def test_files_are_routed_once(spark, tmp_path):
     put("r/pipeline/P2/embeddings.json", {"vectors": {"technology": [1.0]}})
     put("r/pipeline/P3/embeddings.json", {"vectors": {"technology": [1.0], "problem": ["a"]}})
     put("r/pipeline/P4/embeddings.json", "{")
-    put("r/pipeline/P1/threat_score.json", {"similarity": 3, "説明": "é"})
+    put("r/pipeline/P1/threat_score.json", json.dumps({"similarity": 3, "説明": "é"}, ensure_ascii=False, indent=2))
     put("r/pipeline/P1/attempts/run-7/error.json", {"e": 1})
     put("r/pipeline/日本 語/a+b%20.json", [1])
     put("r/subresearches/g/patents.json", "[]")
