@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from cartolith.plans import catalogue, stored  # noqa: F401  stored adds its queries
+from cartolith.plans import catalogue, claims, stored  # noqa: F401  both add their queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
