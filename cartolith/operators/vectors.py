@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -32,9 +33,14 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(1 - dot(a, b) / n)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: what a lambda only refers to is computed anew for each of its elements."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unit(v: Column) -> Column:
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))
+    scaled = lambda a, n: F.transform(a, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))
+    return bound(v, lambda a: bound(norm(a), lambda n: scaled(a, n)))
 
 
 def cosine_to_reference(vectors: DataFrame, id_col: str, vector_col: str, reference: list[float]) -> DataFrame:
@@ -71,8 +77,9 @@ def fixed_projection(v: Column, dims: int, target: int = 256) -> Column:
     t = min(target, dims)
     width = -(-dims // t)
     padded = F.concat(doubles(v), F.array_repeat(F.lit(0.0), t * width - dims)) if t * width > dims else doubles(v)
-    sums = F.transform(F.sequence(F.lit(0), F.lit(t - 1)), lambda i: F.aggregate(F.transform(F.slice(padded, i * width + 1, F.lit(width)), lambda x, k: F.when(k % 2 == 0, x).otherwise(-x)), F.lit(0.0), lambda s, x: s + x))
-    return unit(sums)
+    signed = F.transform(padded, lambda x, k: F.when(k % width % 2 == 0, x).otherwise(-x))
+    fold = lambda a: F.transform(F.sequence(F.lit(0), F.lit(t - 1)), lambda i: F.aggregate(F.slice(a, i * width + 1, F.lit(width)), F.lit(0.0), lambda s, x: s + x))
+    return unit(bound(signed, fold))
 
 
 def invalid_vectors(vectors: DataFrame, vector_col: str, dims: int, least: int = LEAST_DIMENSIONS) -> DataFrame:
