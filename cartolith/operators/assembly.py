@@ -31,26 +31,39 @@ def rows_by_precedence(rows: DataFrame, files: DataFrame) -> DataFrame:
 def _looked_up(rows: DataFrame, found: DataFrame, name: str, fields: list[str]) -> DataFrame:
     """rows with a struct `name` of found's fields: the research's own row, else the one of the row's old group; null if neither."""
     value = F.struct(*fields)
-    one = lifecycle.latest(found, ["research_id", "id", "subresearch"], [F.xxhash64(*found.columns)])
+    newest = [F.col("modified").desc_nulls_last()] if "modified" in found.columns else []
+    one = lifecycle.latest(found, ["research_id", "id", "subresearch"], [*newest, F.xxhash64(*found.columns)])
     own = one.where("subresearch is null").select("research_id", "id", value.alias("_own"))
     old = one.where("subresearch is not null").select("research_id", "id", "subresearch", value.alias("_old"))
     joined = rows.join(own, ["research_id", "id"], "left").join(old, ["research_id", "id", "subresearch"], "left")
     return joined.withColumn(name, F.coalesce("_own", "_old")).drop("_own", "_old")
 
 
+def parsed_results(files: DataFrame) -> DataFrame:
+    """Results of files (research_id, id, subresearch, payload, modified): each known field, `keys` (the fields that the file has,
+    those of null too) and `malformed`. A file that is no JSON object has no keys."""
+    whole = F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT<"), F.lit(False))
+    kinds = {"similarity": "int", "concept_level": "int"}
+    value = lambda f: F.when(whole, F.get_json_object("payload", f"$.{f}")).cast(kinds.get(f, "string")).alias(f)
+    keys = F.when(whole, F.json_object_keys("payload"))
+    return files.select("research_id", "id", "subresearch", *[value(f) for f in (*REQUIRED, *CLUSTER_IDS)], F.coalesce(keys, F.array().cast("array<string>")).alias("keys"), (~whole).alias("malformed"), "modified")
+
+
 def assembled_documents(rows: DataFrame, results: DataFrame, stored: DataFrame, skips: DataFrame, pool: DataFrame, rules: dict[str, list[str]] | None = None) -> DataFrame:
     """One row a listed document, with state, analysis and `problem`.
 
     rows as in GIVEN, results and stored (research_id, id, REQUIRED and CLUSTER_IDS; results with subresearch), skips
     (research_id, id, subresearch, reason, detail), pool (pdf). A result counts as a whole, its own file before the old
-    group's, and only without one do stored values. A file that is not in the pool is skipped for that reason, before any
-    other. `problem` is why a reference is not valid, or duplicate for all rows of a research with one id, else null:
+    group's, and only without one do stored values. With `keys` (see `parsed_results`) a result is ready if it has all required
+    fields, of null too, and invalid if it has any others only; without, values that are not null count. Of repeated results the
+    one `modified` last counts, where that is given. A file that is not in the pool is skipped for that reason, before any other. `problem` is why a reference is not valid, result_not_json, or duplicate for all rows of a research with one id, else null:
     rows are kept, so that the caller may refuse them together.
     """
     fields = [*REQUIRED, *CLUSTER_IDS]
+    told = [c for c in ("keys", "malformed") if c in results.columns]
     stem = F.regexp_replace("pdf", r"(?i)\.pdf$", "")
     keyed = rows.withColumn("id", N.file_key(stem))
-    found = _looked_up(_looked_up(keyed, results, "_result", fields), skips, "_skip", ["reason", "detail"])
+    found = _looked_up(_looked_up(keyed, results, "_result", [*fields, *told]), skips, "_skip", ["reason", "detail"])
     kept = lifecycle.latest(stored, ["research_id", "id"], [F.xxhash64(*stored.columns)]).select("research_id", "id", F.struct(*fields).alias("_stored"))
     here = pool.select("pdf").distinct().withColumn("_here", F.lit(True))
     joined = found.join(kept, ["research_id", "id"], "left").join(here, "pdf", "left")
@@ -60,9 +73,16 @@ def assembled_documents(rows: DataFrame, results: DataFrame, stored: DataFrame,
     held = sum((values[f].isNotNull().cast("int") for f in REQUIRED), F.lit(0))
     some = sum((v.isNotNull().cast("int") for v in values.values()), F.lit(0))
     gone = F.col("_here").isNull()
+    whole, any_ = held == len(REQUIRED), some > 0
+    if "keys" in told:
+        keys = F.col("_result")["keys"]
+        mine = F.col("_result").isNotNull()
+        whole = F.when(mine, F.size(F.array_except(F.array(*[F.lit(f) for f in REQUIRED]), keys)) == 0).otherwise(whole)
+        any_ = F.when(mine, F.size(keys) > 0).otherwise(any_)
+    bad = F.when(F.col("_result")["malformed"], "result_not_json") if "malformed" in told else F.lit(None).cast("string")
     reason = F.when(gone, "pdf_not_found").otherwise(F.col("_skip")["reason"])
     skipped = gone | F.col("_skip").isNotNull()
-    state = F.when(skipped, "skipped").when(held == len(REQUIRED), "ready").when(some > 0, "invalid").otherwise("pending")
+    state = F.when(skipped, "skipped").when(whole, "ready").when(any_, "invalid").otherwise("pending")
     repeated = F.when(F.count("*").over(Window.partitionBy("research_id", "id")) > 1, "duplicate")
     return joined.select(
         "research_id",
@@ -81,7 +101,7 @@ def assembled_documents(rows: DataFrame, results: DataFrame, stored: DataFrame,
         state.alias("analysis_state"),
         reason.alias("skip_reason"),
         *[v.alias(f) for f, v in values.items()],
-        F.coalesce(registry.reference_problem(F.col("pdf")), repeated).alias("problem"),
+        F.coalesce(registry.reference_problem(F.col("pdf")), bad, repeated).alias("problem"),
     )
 
 

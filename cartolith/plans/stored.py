@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import canonical
-from ..operators import analysis, checks, list_history, replacement
+from ..operators import analysis, assembly, checks, list_history, replacement
 from ..operators.model import SEARCHED
 from ..sources.shared import cut, shared_folder
 from . import binding
@@ -213,3 +213,26 @@ def preflight_checks(spark, d):
     structures = read(spark, d, "orders").where("o_orderkey % 8 <> 0").select(F.col("o_orderkey").alias("patent_id"), F.lit(2).alias("schema_version"), (F.col("o_totalprice") > 50000).alias("valid"), F.lit(3).alias("claims"))
     shape = {"type": "object", "required": ["x"]}
     return checks.preflight(docs, structures, dict.fromkeys(checks.PROMPTED, "text"), dict.fromkeys(checks.PROMPTED[1:], shape) | {checks.PROMPTED[0]: {"type": "object"}}, ["gemma4:e4b"], ("normal", "debug"))
+
+
+@query(
+    """, s AS (SELECT patent_id, research_id, CASE WHEN patent_id % 13 = 0 OR patent_id % 10 = 1 THEN 'skipped' WHEN patent_id % 7 = 0 THEN 'pending' WHEN patent_id % 7 <= 2 THEN 'invalid' ELSE 'ready' END AS analysis_state,
+  CASE WHEN patent_id % 13 = 0 THEN 'pdf_not_found' WHEN patent_id % 10 = 1 THEN 'by hand' END AS skip_reason FROM docs)
+SELECT research_id, patent_id || '.pdf' AS pdf, analysis_state, skip_reason, year(o_orderdate)::INTEGER AS year, CASE WHEN patent_id % 7 >= 3 THEN o_orderpriority END AS reasoning FROM s JOIN orders ON o_orderkey = patent_id"""
+)
+def assembled_states(spark, d):
+    """Listed documents with their result files, skips and pool; files lack fields, hold null ones, or none at all."""
+    docs = binding.documents(spark, d).select("research_id", "patent_id")
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("patent_id"), "o_orderdate", "o_orderpriority")
+    rows = docs.join(o, "patent_id").withColumn("id", F.col("patent_id").cast("string")).withColumn("pdf", F.concat("id", F.lit(".pdf")))
+    given = {"research_id": F.col("research_id"), "pdf": F.col("pdf"), "position": F.col("patent_id"), "application_date": F.date_format("o_orderdate", "yyyy-MM-dd")}
+    listed = rows.select(*[given.get(c.split(" ")[0], F.lit(None)).cast(c.split(" ")[1]).alias(c.split(" ")[0]) for c in assembly.GIVEN.split(", ")])
+    rest = F.col("patent_id") % 7
+    whole = F.to_json(F.struct(F.lit(3).alias("similarity"), F.lit(4).alias("concept_level"), F.lit("t").alias("tech_summary"), F.lit(None).cast("string").alias("problem_summary"), F.col("o_orderpriority").alias("reasoning"), F.lit("T").alias("tech_cluster"), F.lit("P").alias("problem_cluster")), {"ignoreNullFields": "false"})
+    payload = F.when(rest == 0, "{}").when(rest == 1, '{"note":1}').when(rest == 2, '{"similarity":1}').otherwise(whole)
+    none = F.lit(None).cast("string").alias("subresearch")
+    results = assembly.parsed_results(rows.select("research_id", "id", none, payload.alias("payload"), F.lit(1).alias("modified")))
+    stored = rows.where("false").select("research_id", "id", *[F.lit(None).cast("int" if f in ("similarity", "concept_level") else "string").alias(f) for f in (*assembly.REQUIRED, *assembly.CLUSTER_IDS)])
+    skips = rows.where("patent_id % 10 = 1").select("research_id", "id", none, F.lit("by hand").alias("reason"), F.lit("").alias("detail"))
+    out = assembly.assembled_documents(listed, results, stored, skips, rows.where("patent_id % 13 <> 0").select("pdf"))
+    return out.select("research_id", "pdf", "analysis_state", "skip_reason", "year", "reasoning")

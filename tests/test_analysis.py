@@ -183,18 +183,14 @@ def test_answers_are_shared_by_what_decides_them(spark, tmp_path):
 def test_a_stored_answer_must_hold_again(spark, tmp_path):
     (tmp_path / "calls").mkdir()
     one = model(tmp_path / "calls", right)
-    rows = analysis.keyed(prepared(spark), one, "normal").where("task = 'problem_summary'").cache()
-    mark = rows.first()["fingerprint"]
-
-    def states(response, version=analysis.CACHE_VERSION):
-        stored = spark.createDataFrame([(mark, version, "problem_summary", "{}", response, datetime.datetime(2020, 1, 1))], analysis.ANSWER_ROW)
-        return [r["state"] for r in analysis.analyse(rows, one, stored).collect()]
-
-    held = rows.first()["allowed"][0]
+    rows = analysis.keyed(prepared(spark, range(1, 7)), one, "normal").where("task = 'problem_summary'").cache()
+    marks = {r["doc_id"]: r["fingerprint"] for r in rows.collect()}
+    held, now = rows.first()["allowed"][0], analysis.CACHE_VERSION
     fits = lambda ids, text="t": json.dumps({"problem_summary": text, "source_paragraph_ids": ids})
-    assert states(fits([held])) == ["cached"]
-    for response, version in ((fits([held]), "old"), (fits(["P0009-N0009"]), analysis.CACHE_VERSION), (fits([held], " "), analysis.CACHE_VERSION), ("{", analysis.CACHE_VERSION), (None, analysis.CACHE_VERSION)):
-        assert states(response, version) == ["generated"]
+    cases = {1: (fits([held]), now), 2: (fits([held]), "old"), 3: (fits(["P0009-N0009"]), now), 4: (fits([held], " "), now), 5: ("{", now), 6: (None, now)}
+    stored = [(marks[d], version, "problem_summary", "{}", response, datetime.datetime(2020, 1, 1)) for d, (response, version) in cases.items()]
+    got = analysis.analyse(rows, one, spark.createDataFrame(stored, analysis.ANSWER_ROW))
+    assert {r["doc_id"]: r["state"] for r in got.collect()} == {1: "cached"} | dict.fromkeys(range(2, 7), "generated") and len(calls(tmp_path / "calls")) == 5
 
 
 def test_a_run_goes_on_where_it_ended(spark, tmp_path):

@@ -1,6 +1,7 @@
 """Document assembly, page texts, logs and digests on small fixtures."""
 
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +40,21 @@ def test_assembled_documents(spark):
     assert empty.count() == 0
 
 
+def test_results_count_by_their_fields(spark):
+    full = {f: "x" for f in assembly.REQUIRED} | {"similarity": 3, "concept_level": 2}
+    files = [("a", "{}"), ("b", '{"other": 1}'), ("c", json.dumps(full | {"reasoning": None})), ("d", json.dumps({"similarity": 1})), ("e", "{"), ("f", "[1]"), ("g", json.dumps(full | {"tech_summary": "new"})), ("g", json.dumps(full | {"tech_summary": "old"}))]
+    made = spark.createDataFrame([("r", i, None, p, 10 - n) for n, (i, p) in enumerate(files)], "research_id string, id string, subresearch string, payload string, modified long")
+    results = assembly.parsed_results(made)
+    rows = spark.createDataFrame([given(f"{c}.pdf") for c in "abcdefgh"], assembly.GIVEN)
+    stored = spark.createDataFrame([("r", "h", *FULL)], f"research_id string, id string, {ANALYSIS}")
+    skips = spark.createDataFrame([], "research_id string, id string, subresearch string, reason string, detail string")
+    pool = spark.createDataFrame([(f"{c}.pdf",) for c in "abcdefgh"], "pdf string")
+    got = {r["pdf"][0]: r for r in assembly.assembled_documents(rows, results, stored, skips, pool).collect()}
+    assert {k: v["analysis_state"] for k, v in got.items()} == {"a": "pending", "b": "invalid", "c": "ready", "d": "invalid", "e": "pending", "f": "pending", "g": "ready", "h": "ready"}
+    assert {k for k, v in got.items() if v["problem"] == "result_not_json"} == {"e", "f"} and got["g"]["tech_summary"] == "new" and got["c"]["similarity"] == 3 and got["c"]["reasoning"] is None
+
+
+
 def test_states(spark):
     docs = spark.createDataFrame([(1, "pending", None, None, "x"), (2, "ready", None, None, "y")], "id int, analysis_state string, skip_reason string, skip_detail string, title string")
     new = spark.createDataFrame([(1, "skipped", "short", "d"), (3, "ready", None, None)], "id int, analysis_state string, skip_reason string, skip_detail string")
