@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions import canonical
 from ..operators import analysis, assembly, checks, list_history, replacement
 from ..operators.model import SEARCHED
+from ..sources import patent_list
 from ..sources.shared import cut, shared_folder
 from . import binding
 from .binding import read
@@ -236,3 +237,14 @@ def assembled_states(spark, d):
     skips = rows.where("patent_id % 10 = 1").select("research_id", "id", none, F.lit("by hand").alias("reason"), F.lit("").alias("detail"))
     out = assembly.assembled_documents(listed, results, stored, skips, rows.where("patent_id % 13 <> 0").select("pdf"))
     return out.select("research_id", "pdf", "analysis_state", "skip_reason", "year", "reasoning")
+
+
+@query(
+    """WITH f AS (SELECT o_custkey AS c, strftime(o_orderdate::DATE, '%Y%m%d') || lpad((o_orderkey % 30)::VARCHAR, 2, '0') || '0000' AS stamp, 'researches/' || o_custkey || '/patent_list_' || strftime(o_orderdate::DATE, '%Y%m%d') || lpad((o_orderkey % 30)::VARCHAR, 2, '0') || '0000.csv' AS path, o_orderkey % 30 < 24 AS dated FROM orders)
+SELECT path, row_number() OVER (PARTITION BY c ORDER BY stamp DESC, path DESC) = 1 AS newest FROM f WHERE dated""",
+    bound=False,
+)
+def newest_lists(spark, d):
+    """The list that counts in each research's folder; a fifth of the files have an hour that there is not."""
+    stamp = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lpad((F.col("o_orderkey") % 30).cast("string"), 2, "0"), F.lit("0000"))
+    return patent_list.newest_list(read(spark, d, "orders").select(F.concat(F.lit("researches/"), F.col("o_custkey").cast("string"), F.lit("/patent_list_"), stamp, F.lit(".csv")).alias("path")))

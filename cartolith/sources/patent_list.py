@@ -5,7 +5,6 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator
-from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,18 +47,12 @@ def read_lists(spark: SparkSession, path: str) -> DataFrame:
 
 
 def newest_list(files: DataFrame) -> DataFrame:
-    """(path, newest) of patent_list_<14 digits>.csv files whose digits are a date; of equal dates the greater name."""
-
-    def valid(stamp: str) -> bool:
-        try:
-            return len(stamp or "") == 14 and bool(datetime.strptime(stamp, "%Y%m%d%H%M%S"))
-        except ValueError:
-            return False
-
-    stamp = F.regexp_extract("path", r"patent_list_(\d{14})\.csv$", 1)
-    rows = files.withColumn("_stamp", stamp).where(F.udf(valid, "boolean", useArrow=True)("_stamp"))
-    w = Window.orderBy(F.col("_stamp").desc(), F.col("path").desc())  # a folder's few files
-    return rows.withColumn("newest", F.row_number().over(w) == 1).select("path", "newest")
+    """(path, newest) of patent_list_<14 digits>.csv files whose digits are a date and time: the newest one of each folder is the
+    list that counts, the others are its history. Of equal times the greater name is newer; other files are left out."""
+    stamp, folder = F.regexp_extract("path", r"(?:^|/)patent_list_(\d{14})\.csv$", 1), F.regexp_extract("path", r"^(.*?)[^/]*$", 1)
+    rows = files.withColumn("_stamp", stamp).where(F.try_to_timestamp("_stamp", F.lit("yyyyMMddHHmmss")).isNotNull())
+    newest = Window.partitionBy(folder).orderBy(F.col("_stamp").desc(), F.col("path").desc())  # a folder's few files
+    return rows.withColumn("newest", F.row_number().over(newest) == 1).select("path", "newest")
 
 
 def documents_from_list(rows: DataFrame, research_id: str) -> DataFrame:
