@@ -97,3 +97,17 @@ def cited_evidence(spark, d):
     size = allowed.select(F.col("doc_id").alias("_a"), F.size("allowed").alias("allowed"))
     out = checked.join(size, F.col("doc_id") == F.col("_a")).join(named, F.col("doc_id") == F.col("_c")).join(sources, F.col("doc_id") == F.col("_d"), "left")
     return out.select("doc_id", "allowed", "claim_number", "verified", "reason", "claim_reason", "sources")
+
+
+PACKED = """SELECT doc_id, task, claim_sources, 1 AS paragraph_sources, 'technical_field' AS sections, score, reasons FROM
+  (SELECT c_custkey AS doc_id, coalesce(i, 0)::INTEGER AS claim_sources FROM customer LEFT JOIN (SELECT doc_id, count(*) FILTER (independent) AS i FROM s GROUP BY 1) x ON doc_id = c_custkey)
+  CROSS JOIN (VALUES ('similarity', 29.5::DOUBLE, 'section:technical_field,role:component,company_overlap:1.000'), ('technology_summary', 12.5::DOUBLE, 'section:technical_field,role:component')) t(task, score, reasons)"""
+
+
+@query(f"WITH {CLAIMS} {PACKED}", bound=False)
+def evidence_reasons(spark, d):
+    """What each document's packs hold of claims and paragraphs, and why the paragraph was taken."""
+    own = cut(pages(spark, d), "pages")
+    packs = evidence.evidence_packs(structure.structured_paragraphs(own), structure.structured_claims(own), "装置").where(F.col("task").isin("similarity", "technology_summary"))
+    last = F.element_at("sources", -1)
+    return packs.select("doc_id", "task", "claim_sources", "paragraph_sources", F.array_join(F.map_keys("selected_sections"), ",").alias("sections"), last["score"].alias("score"), F.array_join(last["reasons"], ",").alias("reasons"))
