@@ -267,11 +267,14 @@ def analyse(rows: DataFrame, model: Model, answers: DataFrame | None = None, par
         hits = cut(found.where(shaped(F.col("task"), F.col("response"))).select("question", *kept, "response"), "hits")
     missing = rows if hits is None else rows.join(hits.select("question").distinct(), "question", "left_anti")
     asked = lifecycle.latest(missing, ["question"], [F.col("research_id"), F.col("doc_id")])
-    first = judged(asked.join(ask(asked.withColumn("repair", F.lit(None).cast("string")), model, parallel), "question"))
-    first = cut(first, "judged")
+    small = asked.select("question", "task", "allowed", "claims")  # texts are written once, by the caller, and read where a prompt is made
+    first = cut(judged(small.join(ask(asked.withColumn("repair", F.lit(None).cast("string")), model, parallel), "question")), "judged")
     wrong = first.where(F.col("error").isNull() & ~F.col("verified"))
     told = F.to_json(F.struct(F.coalesce("allowed", F.array().cast("array<string>")).alias("allowed_ids"), F.col("reported").alias("previous_ids"), F.coalesce("reason", "claim_reason").alias("validation")))
-    again = first.select("question", "response", "error").limit(0) if wrong.isEmpty() else ask(wrong.withColumn("repair", told), model, parallel)
+    if wrong.isEmpty():
+        again = first.select("question", "response", "error").limit(0)
+    else:
+        again = ask(asked.join(wrong.select("question", told.alias("repair")), "question"), model, parallel)
     second = judged(wrong.select("question", "task", "allowed", "claims").join(again, "question")).select("question", _attempt(2).alias("_second"))
     both = first.select("question", _attempt(1).alias("_first")).join(second, "question", "left")
     last = F.coalesce("_second", "_first")
@@ -326,16 +329,18 @@ def run_tasks(prepared: DataFrame, model: Model, store: Store, run: str, environ
     rows = cut(keyed(prepared, model, environment), "prepared")
     for task in tasks:
         for part in range(parts):
-            todo = rows.where((F.col("task") == task) & (F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == part))
-            todo = cut(store.open_tasks(todo), "open")
-            if todo.isEmpty():
+            own = rows.where((F.col("task") == task) & (F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == part))
+            names = [*KEYS, "checkpoint"]
+            wanted = cut(store.open_tasks(own).select(*[F.col(c).alias(f"_{c}") for c in names]).distinct(), "open")
+            if wanted.isEmpty():
                 continue
+            todo = own.join(wanted, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names], "left_semi")
             done = cut(analyse(todo, model, store.answers.read(), parallel), "done")
             if rescue is not None and not (failed := done.where("not verified")).isEmpty():
                 inputs = todo.join(failed.select(F.col("checkpoint").alias("_c"), F.col("doc_id").alias("_d"), F.col("research_id").alias("_r")), F.col("checkpoint").eqNullSafe(F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("research_id").eqNullSafe(F.col("_r")), "left_semi")
                 # the rescue's answers are its own, but they settle the checkpoint of the first model's input
-                own = keyed(inputs.withColumnRenamed("checkpoint", "_first"), rescue, environment).drop("checkpoint").withColumnRenamed("_first", "checkpoint")
-                saved = cut(analyse(own, rescue, store.answers.read(), parallel), "rescued")
+                saves = keyed(inputs.withColumnRenamed("checkpoint", "_first"), rescue, environment).drop("checkpoint").withColumnRenamed("_first", "checkpoint")
+                saved = cut(analyse(saves, rescue, store.answers.read(), parallel), "rescued")
                 state = F.when(F.col("verified"), "rescued").otherwise("manual_review_required")
                 done = done.where("verified").unionByName(saved.withColumn("state", state))
             store.commit(done, f"{run}-{task}")
