@@ -1,44 +1,57 @@
-"""Pages to paragraphs, as rows, and to claims, one document at a time on the executors."""
+"""Pages to paragraphs and to claims, as rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from ..functions import text as T
 from ..functions.vocabulary import BOILERPLATE, ROLES, SECTION_ROLES
 from ..sources.shared import cut
 
 PAGE = "units array<struct<key:string,opens:string,number:string,body:string,body_key:string>>, edges array<string>, headers int"
-CLAIM = "doc_id long, number int, text string, type string, depends_on array<int>, category string, elements array<struct<element_id:string,text:string,type:string,limitations:array<string>,sha256:string>>"
+CLAIM = "number int, text string, type string, depends_on array<int>, category string, elements array<struct<element_id:string,text:string,type:string,limitations:array<string>,sha256:string>>"
 
 
-def _per_document(pages: DataFrame, build: Callable[[list[tuple[int, str]]], list[dict]], schema: str) -> DataFrame:
-    """Pages (doc_id, page, text) of a document together, in the order of their numbers; a document bounds the group."""
-    columns = [c.split()[0] for c in schema.split(", ")]
+#: So many pages or documents are Python objects at once; a batch of Spark's holds more.
+AT_ONCE = 64
 
-    def run(key, pdf):
-        pdf = pdf.sort_values("page", kind="stable")
-        rows = build([(int(p), t or "") for p, t in zip(pdf["page"], pdf["text"])])
-        return pd.DataFrame([{"doc_id": key[0], **r} for r in rows], columns=columns)
 
-    return pages.select("doc_id", "page", "text").groupBy("doc_id").applyInPandas(run, schema)
+def _sliced(build: Callable[[str], object], returns: str) -> Callable[[Column], Column]:
+    """A function of a text as a Column. Of a batch only AT_ONCE texts and results are Python objects, the rest stays Arrow."""
+    type_ = to_arrow_type(DataType.fromDDL(returns))
+
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([build(t or "") for t in texts.slice(at, AT_ONCE).to_pylist()], type_) for at in range(0, len(texts), AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], type_)
+
+    return F.arrow_udf(run, returns)
 
 
 def _read(pages: DataFrame) -> DataFrame:
     """(doc_id, page, nth, units, edges, headers): each page's logical lines. Pages of one number are told apart by `nth`, a hash of their text."""
 
-    def one(text: str | None) -> dict:
-        body, headers = T.without_page_headers(text or "")
-        return {"units": [T.unit_parts(u) for u in T.units(body)], "edges": sorted(T.edge_keys(text or "")), "headers": headers}
+    def one(text: str) -> dict:
+        body, headers = T.without_page_headers(text)
+        return {"units": [T.unit_parts(u) for u in T.units(body)], "edges": sorted(T.edge_keys(text)), "headers": headers}
+
+    type_ = to_arrow_type(DataType.fromDDL(f"struct<{PAGE}>"))
 
-    got = F.udf(one, PAGE, useArrow=True)(F.col("text"))
-    rows = pages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), F.xxhash64("text").alias("nth"), got.alias("p"))
-    return cut(rows.select("doc_id", "page", "nth", "p.*"), "units")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                few = batch.slice(at, AT_ONCE)
+                read = pa.array([one(t or "") for t in few.column(3).to_pylist()], type_)
+                yield pa.RecordBatch.from_arrays([*few.columns[:3], *read.flatten()], ["doc_id", "page", "nth", *(f.name for f in type_)])
+
+    rows = pages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), F.xxhash64("text").alias("nth"), "text")
+    return cut(rows.mapInArrow(run, f"doc_id long, page int, nth long, {PAGE}"), "units")
 
 
 def _lines(read: DataFrame) -> DataFrame:
@@ -81,7 +94,14 @@ def structured_paragraphs(pages: DataFrame) -> DataFrame:
 
 
 def structured_claims(pages: DataFrame) -> DataFrame:
-    return _per_document(pages, lambda p: T.enriched(T.claims("\n".join(t for _, t in p))[0]), CLAIM)
+    """Claims of pages (doc_id, page, text), taken in the order of their numbers, then texts; a document bounds what is held together.
+
+    Pages are gathered by Spark, so Python sees one text a document and is not called for each. Rows stay dealt by doc_id.
+    """
+    gathered = pages.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))).alias("p"))
+    whole = gathered.select("doc_id", F.array_join(F.transform("p", lambda p: p["text"]), "\n").alias("text"))
+    found = _sliced(lambda t: T.enriched(T.claims(t)[0]), f"array<struct<{CLAIM}>>")(F.col("text"))
+    return whole.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
 
 
 def structure_statistics(pages: DataFrame) -> DataFrame:
@@ -101,12 +121,18 @@ def claim_statistics(claims: DataFrame) -> DataFrame:
     return claims.groupBy("doc_id").agg(F.count("*").alias("claims"), F.count_if(F.col("type") == "independent").alias("independent"), F.sum(F.size("elements")).alias("elements"))
 
 
-def lead_claims(claims: DataFrame) -> DataFrame:
-    """Independent claims; the first claim of a document without one."""
+def with_lead(claims: DataFrame) -> DataFrame:
+    """Adds `lead`: whether a claim is independent, or the first claim of a document without such a one."""
     w = Window.partitionBy("doc_id")
     some = F.max((F.col("type") == "independent").cast("int")).over(w)
     first = F.min("number").over(w)
-    return claims.withColumns({"_some": some, "_first": first}).where((F.col("type") == "independent") | ((F.col("_some") == 0) & (F.col("number") == F.col("_first")))).drop("_some", "_first")
+    lead = (F.col("type") == "independent") | ((F.col("_some") == 0) & (F.col("number") == F.col("_first")))
+    return claims.withColumns({"_some": some, "_first": first}).withColumn("lead", F.coalesce(lead, F.lit(False))).drop("_some", "_first")
+
+
+def lead_claims(claims: DataFrame) -> DataFrame:
+    """Independent claims; the first claim of a document without one."""
+    return with_lead(claims).where("lead").drop("lead")
 
 
 # The same steps over rows, where the order of lines is a column and keys are ASCII
