@@ -155,12 +155,15 @@ def forward_fill(rows: DataFrame, by: list[str], order: list[str], value: Column
     return rows.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(w), F.lit(default)))
 
 
-def longest_runs(rows: DataFrame, by: list[str], order: str, number: str) -> DataFrame:
-    """(by, run_start, run_length): the longest run 1, 2, 3, ... of each group; the earliest of equals."""
-    w = Window.partitionBy(*by).orderBy(order)
+def longest_runs(rows: DataFrame, by: list[str], order: str, number: str, sorted_by: list[str] | None = None) -> DataFrame:
+    """(by, run_start, run_length): the longest run 1, 2, 3, ... of each group; the earliest of equals.
+
+    sorted_by are the columns that `order` numbers the rows of a group by, if it was made by a window: a task then sorts once.
+    """
+    w = Window.partitionBy(*by).orderBy(*(sorted_by or [order]))
     n = F.col(number)
     starts = F.when((n == 1) | F.lag(number).over(w).isNull() | (n != F.lag(number).over(w) + 1), 1).otherwise(0)
-    marked = rows.withColumn("_s", starts).withColumn("_island", F.sum("_s").over(w))
+    marked = rows.withColumn("_s", starts).withColumn("_island", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     islands = marked.groupBy(*by, "_island").agg(F.min(number).alias("_first"), F.min(order).alias("run_start"), F.count("*").alias("run_length")).where("_first = 1")
     best = islands.groupBy(*by).agg(F.max(F.struct("run_length", (-F.col("run_start")).alias("s"))).alias("b"))
     return best.select(*by, (-F.col("b.s")).alias("run_start"), F.col("b.run_length").alias("run_length"))

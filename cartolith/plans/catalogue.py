@@ -271,9 +271,11 @@ def section_forward_fill(spark, d):
 def claim_run_islands(spark, d):
     from pyspark.sql import Window
 
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
-    rows = read(spark, d, "lineitem").select("l_suppkey", F.col("l_linenumber").alias("n"), F.row_number().over(w).cast("long").alias("p"))
-    return structure.longest_runs(rows, ["l_suppkey"], "p", "n")
+    order = ["l_orderkey", "l_linenumber", "l_partkey"]
+    lines = read(spark, d, "lineitem").select("l_suppkey", *order)
+    tasks = max(lines.count() // 1_000_000, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))  # a task sorts about a million lines, however many there are
+    rows = lines.repartition(tasks, "l_suppkey").select("*", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*order)).cast("long").alias("p"))
+    return structure.longest_runs(rows, ["l_suppkey"], "p", "l_linenumber", order)
 
 
 def _grams_sql(width: int, key: str = "k") -> str:

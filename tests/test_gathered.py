@@ -82,3 +82,26 @@ def test_near_texts_meet_in_blocks(spark, monkeypatch):
     assert len(rows) == len(want) > 500 and {(r["a"], r["b"]): r["jaccard"] for r in rows} == pytest.approx(want)
     x = pa.array([[1, 2, 3], [], [7], [2, 3]], pa.list_(pa.int64()))
     assert np.array_equal(evidence.shared_counts(x, x.slice(2)), [[0, 2], [0, 0], [1, 0], [0, 2]])
+
+
+def test_runs_sort_a_group_once(spark):
+    from cartolith.plans import catalogue
+
+    runs = catalogue.claim_run_islands(spark, "/root/testdata/sf0.001")
+    runs.collect()
+    p = runs._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in p.split("== Initial Plan ==")[0].splitlines() if " Sort [" in line]
+    assert sum("l_orderkey" in line for line in sorts) == 1 and not any(" p#" in line for line in sorts)
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from cartolith.operators import replacement
+
+    monkeypatch.setattr(replacement, "FILE_ROWS", 20, raising=False)
+    columns = "patent_id long, position long, title string, organization_ids array<string>"
+    research = replacement.Research(spark, f"file://{tmp_path}/s", "r", columns, buckets=1)
+    rows = [(i, i, f"item {i} of the list", [f"o{i % 3}"]) for i in range(300)]
+    research.replace(spark.createDataFrame(rows, columns), spark.createDataFrame([(f"o{i}", "n") for i in range(3)], "organization_id string, name string"))
+    assert len(research.documents().inputFiles()) > 3 and research.documents().count() == 300
+    assert [r["document_count"] for r in research.organizations().collect()] == [100] * 3
+    assert {r["patent_id"] for r in research.find("item 7").collect()} == {7, *range(70, 80)}
