@@ -8,6 +8,7 @@ difference of the bridge's old and new rows. All of it becomes visible as one ve
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Sequence
 
@@ -22,6 +23,8 @@ BUCKETS = 16
 #: Postings of a bucket are in so many folders by gram; a search opens those of its own grams.
 GRAM_FOLDERS = 16
 GRAM = 3
+#: Documents of a bucket that one task takes with their organizations and postings; a bucket of more has several files.
+FILE_ROWS = 100_000
 #: So many candidates are named to the scan of the documents, which then skips what holds none; beyond, it is a join.
 NAMED_MOST = 10_000
 KEY = "patent_id"
@@ -97,15 +100,23 @@ class Research:
         touched = sorted(r[BUCKET] for r in changed.select(BUCKET).distinct().collect())  # at most `buckets`
         parts, changes = rows.where(F.col(BUCKET).isin(touched)), {}
         if touched:
-            held = parts.select(BUCKET, KEY, F.explode(F.array_distinct(F.coalesce("organization_ids", F.array().cast("array<string>")))).alias("organization_id")).where("organization_id IS NOT NULL")
-            grams = parts.select(BUCKET, KEY, F.explode(_grams(self.searched)).alias("gram")).withColumn("_g", F.pmod(F.xxhash64("gram"), F.lit(GRAM_FOLDERS)).cast("int"))
-            changes["documents"] = touched, self.snapshot.stage("documents", parts, touched, [KEY])
-            changes["bridge"] = touched, self.snapshot.stage("bridge", held, touched, ["organization_id"])
-            changes["postings"] = touched, self.snapshot.stage("postings", grams, touched, ["gram", KEY], "_g")
+            own = self._dealt(parts, len(touched))
+            held = own.select(BUCKET, KEY, F.explode(F.array_distinct(F.coalesce("organization_ids", F.array().cast("array<string>")))).alias("organization_id")).where("organization_id IS NOT NULL")
+            grams = own.select(BUCKET, KEY, F.explode(_grams(self.searched)).alias("gram")).withColumn("_g", F.pmod(F.xxhash64("gram"), F.lit(GRAM_FOLDERS)).cast("int"))
+            changes["documents"] = touched, self.snapshot.stage("documents", own, touched, [KEY], dealt=True)
+            changes["bridge"] = touched, self.snapshot.stage("bridge", held, touched, ["organization_id"], dealt=True)
+            changes["postings"] = touched, self.snapshot.stage("postings", grams, touched, ["gram", KEY], "_g", dealt=True)
         changes["organizations"] = self._counted(changed, parts, organizations)
         self.snapshot.commit(changes, {"research_id": self.id} | (about or {}))
         return changed.drop(BUCKET)
 
+    def _dealt(self, parts: DataFrame, touched: int) -> DataFrame:
+        """The documents of the touched buckets, by bucket and, beyond FILE_ROWS, by a share of it; what is made of them stays in their task."""
+        shares = math.ceil(parts.count() / touched / FILE_ROWS)
+        if shares <= 1:
+            return parts.repartition(touched, BUCKET)
+        return parts.repartition(touched * shares, BUCKET, F.pmod(F.xxhash64(KEY, F.lit(1)), F.lit(shares)))
+
     def _counted(self, changed: DataFrame, parts: DataFrame, organizations: DataFrame) -> tuple[list[int], dict[str, str]]:
         """The buckets of organizations whose count or name moves, written anew.
 

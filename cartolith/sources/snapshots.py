@@ -61,18 +61,19 @@ class Snapshot:
     def _columns(self, name: str) -> list[str]:
         return self.spark.createDataFrame([], self.schemas[name]).columns
 
-    def stage(self, name: str, rows: DataFrame, buckets: list[int], order: list[str] = (), inner: str | None = None) -> dict[str, str]:
+    def stage(self, name: str, rows: DataFrame, buckets: list[int], order: list[str] = (), inner: str | None = None, dealt: bool = False) -> dict[str, str]:
         """Writes the rows (with `_bucket`) of some buckets; returns their new folders. Buckets without rows have none.
 
         order sorts a file's rows, so that a filter on the first of these columns skips most of it; inner is a column to
-        make folders of inside a bucket.
+        make folders of inside a bucket. Rows that come dealt stay in their tasks, each of which writes files of its own.
         """
         columns = [c for c in self._columns(name) if c != inner]
         place = f"{name}/_version={uuid.uuid4().hex}"
         by = [BUCKET] + ([inner] if inner else [])
         with shuffles_cleaned(self.spark):
-            dealt = rows.where(F.col(BUCKET).isin(buckets)).select(*by, *columns).repartition(*by)
-            dealt.sortWithinPartitions(*by, *order).write.partitionBy(*by).parquet(f"{self.folder}/data/{place}")
+            own = rows.where(F.col(BUCKET).isin(buckets)).select(*by, *columns)
+            own = own if dealt else own.repartition(*by)
+            own.sortWithinPartitions(*by, *order).write.partitionBy(*by).parquet(f"{self.folder}/data/{place}")
         system, made = self._system(), {}
         for status in system.listStatus(self._path("data", place)):
             folder = status.getPath().getName()
