@@ -41,15 +41,16 @@ def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(CLEANUP, before)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: a lost executor costs a reread, not a recomputation.
 
+    by: a column that has a folder for each value, so that a filter on it leaves the others' files unread.
     The files stay until the folder is cleared, as the result may be read at any later time.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     with shuffles_cleaned(spark):
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -84,6 +84,53 @@ def test_near_texts_meet_in_blocks(spark, monkeypatch):
     assert np.array_equal(evidence.shared_counts(x, x.slice(2)), [[0, 2], [0, 0], [1, 0], [0, 2]])
 
 
+def shuffled(spark, run):
+    """Rows that the stages of `run` give to shuffles."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        held = sc.statusStore().stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
+        return {held.apply(i).stageId(): held.apply(i).shuffleWriteRecords() for i in range(held.size())}
+
+    before = stages()
+    run()
+    return sum(v for k, v in stages().items() if k not in before)
+
+
+def test_near_texts_are_not_shuffled_once_for_each_block(spark, monkeypatch):
+    """Four times the texts of a size are four times the blocks, and give four times the rows to shuffles, not sixteen."""
+    monkeypatch.setattr(evidence, "BLOCK", 25)
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("aeioustnrl") for _ in range(4)) for _ in range(60)) for _ in range(800)]
+    given = [spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string") for n in (200, 800)]
+    few, many = (shuffled(spark, lambda: evidence.near_duplicate_pairs(df, "doc_id", "text").write.format("noop").mode("overwrite").save()) for df in given)
+    assert 0 < many < 6 * few
+
+
+def test_sketches_bound_what_differs(spark):
+    """Tiles of any sketch widths, and any number of words at once, give what sets give; a tile that is written is read as it was."""
+    rng, texts = random.Random(6), [None, "ab", "𝒳𠀋𠀌", "ABC abc"]
+    for n in (3, 30, 300):
+        words = ["".join(rng.choice("aeiou𠀋") for _ in range(5)) for _ in range(n)]
+        texts += [" ".join(w for w in words if rng.random() > 0.06) for _ in range(20)]
+    grams = [T.ngrams(t or "", 3) for t in texts]
+    assert [evidence.trigrams(t or "") for t in texts] == ["".join(sorted(g)) for g in grams]
+    own = [i for i, g in enumerate(grams) if g]
+    parts = [[i for i in own if low <= len(grams[i]) < high] for low, high in ((1, 40), (40, 200), (200, 9999))]
+    tiles = [evidence.Tile.of(np.array(p), np.array([len(grams[i]) for i in p], np.int32), "".join(evidence.trigrams(texts[i]) for i in p)) for p in parts]
+    assert len({t.bits.shape[1] for t in tiles}) == 3
+    batch = pa.RecordBatch.from_pylist([{f"x_{k}": v for k, v in t.row().items()} for t in tiles])
+    tiles = [evidence.Tile.read(batch, i, "x_") for i in range(3)]
+    for least in (0.82, 0.3, 0.01):
+        want = {(i, j): len(grams[i] & grams[j]) / len(grams[i] | grams[j]) for i in own for j in own if i < j and len(grams[i] & grams[j]) >= least * len(grams[i] | grams[j])}
+        found = [r for a in range(3) for b in range(a, 3) for r in evidence.near_sets(tiles[a], tiles[b], least).to_pylist()]
+        assert len(found) == len(want) > 100 and {(r["a"], r["b"]): r["jaccard"] for r in found} == pytest.approx(want)
+    x, y = tiles[1], tiles[2]
+    k, m = (v.ravel() for v in np.indices((len(x.ids), len(y.ids))))
+    assert np.array_equal(evidence.counted(x, y, k, m), evidence.shared_counts(x.sets(), y.sets()).ravel())
+
+
 def test_runs_sort_a_group_once(spark):
     from cartolith.plans import catalogue
 
